@@ -71,24 +71,44 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
-    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Decide for every row how many words the mix takes of it.
 
     The budget is the number of words in all rows. Returns id, ``size``, ``source_size``,
-    ``target``, ``taken`` (repeats counted), ``rounds`` (taken copies) and the columns in
-    ``keep``. Rows are taken whole. Null text: size 0, taken 0. A null source is a source of
+    ``target``, ``taken`` (repeats counted) and ``rounds`` (taken copies). Rows are taken whole. Null text: size 0, taken 0. A null source is a source of
     its own, last in order; a null id is ordinary (ties fall back to key and finish time);
     repeated rows are separate items; an empty table gives an empty result; other columns are
     ignored. Reruns agree: nothing depends on row order or partitioning.
     """
+    decided = _decide(docs, weights, max_repeats, seed, id_col, source_col, text_col)
+    return decided.select(F.col("id").alias(id_col), "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * F.col("rounds")).cast("long").alias("taken"), "rounds")
+
+
+def blend(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix itself: ``docs``'s rows, each as often as :func:`mix` takes it.
+
+    Decisions meet their rows by shuffle key and id in one shuffle; repeated rows share key and
+    id and are dealt their decisions one each.
+    """
+    decided = _decide(docs, weights, max_repeats, seed, id_col, source_col, text_col).where("rounds > 0")
+    lists = decided.groupBy(F.col("key").alias("__key"), F.col("id_order").alias("__id")).agg(F.sort_array(F.collect_list("rounds"), asc=False).alias("__rounds"))
+    rows = docs.withColumn("__key", shuffle_key(id_col, source_col, text_col, seed)).withColumn("__id", _id_order(F.col(id_col)))
+    rows = rows.join(lists, ["__key", "__id"]).withColumn("__at", F.row_number().over(Window.partitionBy("__key", "__id").orderBy("__key")))
+    rows = rows.where(F.col("__at") <= F.size("__rounds")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.element_at("__rounds", F.col("__at")))))
+    return rows.select(*docs.columns)
+
+
+def _id_order(c: Column) -> Column:
+    return F.coalesce(c.cast("long"), F.lit(-(2**63)))
+
+
+def _decide(docs: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: str, id_col: str, source_col: str, text_col: str) -> DataFrame:
     base = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("skey"),
         F.col(source_col).cast("string").alias("source"),
         word_count(text_or_empty(text_col)).alias("size"),
         shuffle_key(id_col, source_col, text_col, seed).alias("key"),
-        *[F.col(c).alias(f"keep_{c}") for c in keep],
     )
     base = cut(base.withColumn("bin", F.shiftright("key", KEY_BITS - BIN_BITS)), "items")
     bins = base.groupBy("skey", "bin").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
@@ -98,7 +118,7 @@ def mix(
     bins = bins.drop("source").withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0))).drop("words").join(targets, "skey")
     inside = Window.partitionBy("skey", "bin").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     timed = base.withColumn("cum", F.sum("size").over(inside)).join(bins, ["skey", "bin"])
-    timed = timed.withColumn("cum", F.col("cum") + F.col("before")).withColumn("id_order", F.coalesce(F.col("id").cast("long"), F.lit(-(2**63)))).drop("before", "skey", "bin", "source")
+    timed = timed.withColumn("cum", F.col("cum") + F.col("before")).withColumn("id_order", _id_order(F.col("id"))).drop("before", "skey", "bin", "source")
     timed = cut(timed, "timed")
 
     def finish(e: int) -> Column:
@@ -121,7 +141,7 @@ def mix(
     for e in range(1, max_repeats):
         rounds = rounds + taken(e)
     rounds = F.when(F.col("size") > 0, rounds).otherwise(0)
-    return timed.select(F.col("id").alias(id_col), "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * rounds).cast("long").alias("taken"), rounds.cast("int").alias("rounds"), *[F.col(f"keep_{c}").alias(c) for c in keep])
+    return timed.withColumn("rounds", rounds.cast("int"))
 
 
 #: DuckDB SQL for the default parameters.
