@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Codepoints that are scanned together, and steps of a block of the scan.
 CHUNK, BLOCK = 1 << 20, 64
 #: Pieces whose merges a worker remembers.
-MEMO = 400_000
+MEMO = 150_000
 #: Pieces of at most so many bytes are merged by search, longer ones with a heap.
 SHORT = 48
 
@@ -296,6 +298,7 @@ _CODECS: dict[int, Codec] = {}
 def shared_codec(spark: SparkSession, path: str):
     """A function for workers that gives the codec. The ranks (one vocabulary file) and the
     class table (one byte a codepoint) are broadcast; each worker builds its codec once."""
+    bound_batches(spark)
     parts = spark.sparkContext.broadcast((load_ranks(path), codepoint_classes()))
 
     def get() -> Codec:

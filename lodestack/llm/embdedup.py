@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, discard
+from .common import bound_batches, cut, discard
 from .components import connected_components
 
 #: Length of the lists, buckets in which a vector starts, mean vectors in a bucket.
@@ -229,6 +229,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
     not a component's smallest id while another is there; repeated rows count as vectors of
     their own; an empty table gives an empty result; other columns are ignored.
     """
+    bound_batches(table.sparkSession)
     element = table.schema[vector_col].dataType.elementType
     dtype = np.float32 if isinstance(element, T.FloatType) else np.float64
     kind = "float" if dtype is np.float32 else "double"

@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_bucket
+from .common import bound_batches, fold_bucket
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Bounds of the model: labelled documents it is fitted on (a hash sample, whole texts),
 #: words kept (most frequent first), n-gram lengths, n-grams kept per length.
 TRAIN_DOCS, MODEL_WORDS, LENGTHS, MODEL_GRAMS = 20_000, 60_000, (5, 4, 3, 2, 1), 60_000
 #: Words whose fallback score a worker remembers.
-MEMO = 200_000
+MEMO = 100_000
 UNKNOWN = "und"
 
 
@@ -41,16 +41,18 @@ class WordFirstModel:
                 table[i, at[lang]] = c
         self.words = {w: i for i, w in enumerate(words)}
         self.word_scores = self._log(table)
-        self.grams: dict[int, dict[str, np.ndarray]] = {}
+        self.grams: dict[int, dict[str, int]] = {}
+        self.gram_scores: dict[int, np.ndarray] = {}
         for n in LENGTHS:
             grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(self.langs)))
             for w, row in zip(words, table, strict=True):
                 for g in self.split(w, n):
                     grams[g] += row
             kept = sorted(grams, key=lambda g: (-grams[g].sum(), g))[:MODEL_GRAMS]
-            scores = self._log(np.array([grams[g] for g in kept]).reshape(-1, len(self.langs)))
-            self.grams[n] = dict(zip(kept, scores, strict=True))
-        self.memo: dict[str, np.ndarray] = {}
+            self.gram_scores[n] = self._log(np.array([grams[g] for g in kept]).reshape(-1, len(self.langs)))
+            self.grams[n] = {g: i for i, g in enumerate(kept)}
+        self.memo: dict[str, int] = {}
+        self.memo_scores = np.zeros((0, len(self.langs)))
 
     @staticmethod
     def _log(table: np.ndarray) -> np.ndarray:
@@ -66,18 +68,22 @@ class WordFirstModel:
         return [padded[i : i + n] for i in range(len(padded) - n + 1) if padded[i : i + n] not in "<>"]
 
     def unseen(self, word: str) -> np.ndarray:
-        got = self.memo.get(word)
-        if got is None:
+        at = self.memo.get(word)
+        if at is None:
             got = np.zeros(len(self.langs))
             for n in LENGTHS:
-                known = [self.grams[n][g] for g in self.split(word, n) if g in self.grams[n]]
+                find = self.grams[n]
+                known = [find[g] for g in self.split(word, n) if g in find]
                 if known:
-                    got = np.mean(known, 0)
+                    got = self.gram_scores[n][known].mean(0)
                     break
+            if not len(self.memo_scores):
+                self.memo_scores = np.zeros((MEMO, len(self.langs)))
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            self.memo[word] = got
-        return got
+            at = self.memo[word] = len(self.memo)
+            self.memo_scores[at] = got
+        return self.memo_scores[at]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = WORDS.findall(text.lower()) if text else []
@@ -114,6 +120,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, train: Column, max_docs: int = TRAIN_DOCS, max_words: int = MODEL_WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> WordFirstModel:
     """Learn from at most about ``max_docs`` of the labelled rows for which ``train`` holds,
     chosen by a hash of the id; the model holds at most ``max_words`` words."""
+    bound_batches(docs.sparkSession)
     some = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = some.count()
     if n > max_docs:
@@ -126,6 +133,7 @@ def fit(docs: DataFrame, train: Column, max_docs: int = TRAIN_DOCS, max_words: i
 
 def predict(docs: DataFrame, model: WordFirstModel, text_col: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score``. Null text or text without a letter: ``und``, 0."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import new_path
+from .common import bound_batches, new_path
 
 #: Samples of a row of the image; payloads are padded to a multiple of it.
 WIDTH, PAD = 576, b"\xff"
@@ -276,6 +276,7 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     def image(texts: pa.Array) -> pa.Array:
         return pa.array([encode_image(payload_of(x.as_buffer().to_pybytes() if x.is_valid else b"")) for x in texts.cast(pa.binary())], pa.binary())
 
+    bound_batches(docs.sparkSession)
     docs.sparkSession.dataSource.register(ArchiveSource)
     docs.select(F.col(id_col).cast("long").alias("id"), image(F.col(text_col).cast("string")).alias("media")).write.format(FORMAT).mode("append").save(path)
 

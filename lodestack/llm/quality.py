@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import cut, fold_bucket
+from .common import bound_batches, cut, fold_bucket
 
 #: Bound on the labelled rows that the trees are fitted on (a hash sample), and their shape.
 TRAIN_ROWS, TREES, DEPTH, RATE = 60_000, 120, 4, 0.12
@@ -103,6 +103,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     the fold; without labels, or with one class only, every score is the smoothed share of
     class 1; repeated rows each get a row; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     held = fold_bucket(5, id_col) == 0
     rows = cut(docs.select(F.col(id_col).alias("id"), held.alias("held_out"), statistics_column(F.col(text_col).cast("string")).alias("x")), "statistics")
     trees = fit(rows, labels, ~F.col("held_out"))

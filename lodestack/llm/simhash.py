@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import bound_batches, cut, text_or_empty
 from .components import connected_components
 
 SEED = 42
@@ -165,6 +165,7 @@ def components(docs: DataFrame, max_bits: int = 4, shingle: int = 4, id_col: str
     smallest id (and is the component only where no other id is there); repeated rows share
     their component; an empty table gives an empty result; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     rows = cut(docs.select(F.col(id_col).alias("id"), fingerprint(text_or_empty(text_col), shingle).alias("fp"), *[F.col(c).alias(f"keep_{c}") for c in keep]), "fingerprints")
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
     roots = cut(connected_components(link_fingerprints(classes.select("fp"), max_bits)), "roots")
