@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import accumulate
 
@@ -47,8 +48,9 @@ def chunk_ranges(sizes: Column, config: ChunkConfig) -> Column:
     return of(sizes)
 
 
-def chunks(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """``docs``: doc_id, texto, fuente, formato, fenomeno, idioma. One row per chunk."""
+def chunks(docs: DataFrame, config: ChunkConfig = ChunkConfig(), count_tokens: Callable[[Column], Column] = X.token_estimate) -> DataFrame:
+    """``docs``: doc_id, texto, fuente, formato, fenomeno, idioma. One row per chunk.
+    ``count_tokens`` gives a chunk's tokens from its text: an encoder's tokenizer plugs in here."""
     d = docs.where(X.strip(F.coalesce("texto", F.lit(""))) != "")
     d = d.withColumn("sents", X.document_sentences(F.col("texto")))
     d = d.withColumn("sizes", F.transform("sents", X.word_count))
@@ -65,7 +67,7 @@ def chunks(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
         texto.alias("texto"),
         X.clamp_language(F.col("idioma")).alias("idioma"),
     )
-    return out.withColumn("num_tokens", X.token_estimate(F.col("texto")))
+    return out.withColumn("num_tokens", count_tokens(F.col("texto")))
 
 
 def fan_out(chunk_table: DataFrame, encoders: list[str]) -> DataFrame:

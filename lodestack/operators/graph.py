@@ -60,10 +60,11 @@ def nodes(t: DataFrame) -> DataFrame:
 
 
 def edges(t: DataFrame) -> DataFrame:
-    """Directed, one per pair: attributes of the first triple, distinct chunk ids in order."""
-    first = F.min_by(F.struct("relacion", "doc_id", "fenomeno"), "at")
-    ids = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "chunk_id"))), lambda x: x["chunk_id"]))
-    e = t.groupBy(F.col("sujeto").alias("src"), F.col("objeto").alias("dst")).agg(first.alias("x"), ids.alias("chunk_id"))
+    """Directed, one per pair: attributes of the first triple, distinct chunk ids in order.
+    Repeats of a pair within a chunk are combined before its chunk ids are collected."""
+    per_chunk = t.groupBy(F.col("sujeto").alias("src"), F.col("objeto").alias("dst"), "chunk_id").agg(F.min(F.struct("at", "relacion", "doc_id", "fenomeno")).alias("first"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("first.at", "chunk_id"))), lambda x: x["chunk_id"])
+    e = per_chunk.groupBy("src", "dst").agg(F.min("first").alias("x"), ids.alias("chunk_id"))
     return e.select("src", "dst", F.col("x.relacion").alias("relation"), "chunk_id", F.col("x.doc_id").alias("doc_id"), F.col("x.fenomeno").alias("fenomeno"))
 
 

@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Queries that may be broadcast; queries and vectors of a block otherwise.
 BROADCAST_QUERIES, QUERY_BLOCK, VECTOR_BLOCK = 4096, 2048, 100_000
@@ -93,12 +94,14 @@ class Flat:
                 return ranked(queries.sparkSession.createDataFrame([], schema), k)
             shared = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in head], matrix([r["embedding"] for r in head], unit)))
 
+            kinds = (to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(self.vectors.schema["item_id"].dataType), pa.float64())
+
             def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, q = shared.value
                 for b in batches:
                     if b.num_rows:
                         cols = _best(ids, b.column(0).to_pylist(), scores(q, matrix(b.column(1).to_pylist(), unit)), k)
-                        yield pa.RecordBatch.from_pydict(dict(zip(("query_id", "item_id", "score"), cols, strict=True)))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["query_id", "item_id", "score"])
 
             return ranked(self.vectors.mapInArrow(near, schema), k)
         n_q, n_v = -(-queries.count() // QUERY_BLOCK), max(1, -(-self.vectors.count() // VECTOR_BLOCK))

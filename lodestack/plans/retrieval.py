@@ -10,6 +10,7 @@ from ..operators import fusion
 from ..operators.embed import Encoder, embed
 from ..operators.spell import corrected
 from ..operators.vector import INDEXES
+from ..shared import cut
 
 
 def prepare_queries(queries: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
@@ -32,7 +33,8 @@ def candidates(queries: DataFrame, chunks: DataFrame, encoders: list[Encoder], k
 
 
 def answer(queries: DataFrame, chunks: DataFrame, encoders: list[Encoder], dictionary: DataFrame | None = None, k: int = 50, index: str = "flat") -> DataFrame:
-    """One response per query: documents and fragments."""
-    q = prepare_queries(queries, dictionary)
-    c = candidates(q, chunks, encoders, k, index)
-    return fusion.responses(fusion.single(c) if len(encoders) == 1 else fusion.rrf(c), q)
+    """One response per query: documents and fragments. Chunks are read once per encoder and
+    once for their texts, answers twice: both are written between."""
+    q = cut(prepare_queries(queries, dictionary), "queries")
+    c = candidates(q, cut(chunks, "chunks"), encoders, k, index)
+    return fusion.responses(cut(fusion.single(c) if len(encoders) == 1 else fusion.rrf(c), "fused"), q)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +14,7 @@ from .operators import extract, fusion, graph, spell, vector
 from .operators.chunk import ChunkConfig, chunks, fan_out
 from .operators.embed import hash_encoders
 from .plans import knowledge, retrieval
+from .shared import cut, new_path
 from .sources import articles as article_source
 from .sources import html
 
@@ -364,8 +364,8 @@ def spell_correct(spark, sf_dir):
 
 
 def answered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    q = retrieval.prepare_queries(questions(spark, sf_dir))
-    return q, retrieval.candidates(q, chunks(corpus(spark, sf_dir)), hash_encoders())
+    q = cut(retrieval.prepare_queries(questions(spark, sf_dir)), "queries")
+    return q, retrieval.candidates(q, cut(chunks(corpus(spark, sf_dir)), "chunks"), hash_encoders())
 
 
 @query
@@ -390,7 +390,7 @@ def response_documents(spark, sf_dir):
 @query
 def results_by_query(spark, sf_dir):
     q, c = answered(spark, sf_dir)
-    r = fusion.responses(fusion.rrf(c), q)
+    r = fusion.responses(cut(fusion.rrf(c), "fused"), q)
     return r.select("query_id", F.array_join(F.transform("documents", lambda d: d["doc_id"]), ",").alias("documents"), F.array_join(F.transform("fragments", lambda d: d["chunk_id"]), ",").alias("fragments")).orderBy("query_id")
 
 
@@ -473,10 +473,7 @@ def stream_ingest_counts(spark, sf_dir):
     """Ingest the documents as a stream, twice; the second run finds nothing new."""
     from .streaming import ingest
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestack-stream-")
-    import uuid
-
-    home = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    home = new_path(spark, "stream")
     schema = docs_of(spark, sf_dir).schema.simpleString()[7:-1].replace(":", " ")
     for _ in range(2):
         stream = ingest.documents(spark, f"{sf_dir}/documents*.parquet", schema)
