@@ -2,53 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-#: Word separators of every contract here: space and U+0009 to U+000D.
-WORD = "[^\\x20\\x09-\\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else what the
-    context already uses, else (local masters only) a temporary folder of this machine."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestack-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+from ..shared import cut, discard, new_path, shared_dir
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here,
-    and a lost executor costs a re-read, not a recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lodestack_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table written by :func:`cut`; later reads of it fail."""
-    path = getattr(df, "_lodestack_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
+__all__ = ["cut", "discard", "new_path", "shared_dir"]
 
 #: Bytes of an Arrow batch on its way to Python (a longer row goes alone).
 BATCH_BYTES = 4 << 20
@@ -76,7 +35,3 @@ def word_count(c: Column) -> Column:
 def fold_bucket(modulus: int, id_col: str = "doc_id") -> Column:
     """crc32 of the id's decimal text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % modulus
-
-
-def fields(*cols: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in cols])

@@ -49,7 +49,7 @@ class WordFirstModel:
                 for g in self.split(w, n):
                     grams[g] += row
             kept = sorted(grams, key=lambda g: (-grams[g].sum(), g))[:MODEL_GRAMS]
-            self.gram_scores[n] = self._log(np.array([grams[g] for g in kept]).reshape(-1, len(self.langs)))
+            self.gram_scores[n] = self._log(np.array([grams[g] for g in kept]).reshape(len(kept), len(self.langs)))
             self.grams[n] = {g: i for i, g in enumerate(kept)}
         self.memo: dict[str, int] = {}
         self.memo_scores = np.zeros((0, len(self.langs)))
