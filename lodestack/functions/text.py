@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Boilerplate lines that cleaning deletes.
@@ -29,8 +29,13 @@ def strip(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Words between Unicode white space; none for a blank text."""
-    s = strip(F.coalesce(c, F.lit("")))
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, r"(?U)\s+"))
+    return F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as column ``name``, evaluated once a row: the optimizer copies a
+    projected expression into every filter and expression above it, but not a generated one."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def word_count(c: Column) -> Column:

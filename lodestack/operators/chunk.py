@@ -51,12 +51,12 @@ def chunk_ranges(sizes: Column, config: ChunkConfig) -> Column:
 def chunks(docs: DataFrame, config: ChunkConfig = ChunkConfig(), count_tokens: Callable[[Column], Column] = X.token_estimate) -> DataFrame:
     """``docs``: doc_id, texto, fuente, formato, fenomeno, idioma. One row per chunk.
     ``count_tokens`` gives a chunk's tokens from its text: an encoder's tokenizer plugs in here."""
-    d = docs.where(X.strip(F.coalesce("texto", F.lit(""))) != "")
-    d = d.withColumn("sents", X.document_sentences(F.col("texto")))
-    d = d.withColumn("sizes", F.transform("sents", X.word_count))
-    d = d.withColumn("ranges", chunk_ranges(F.col("sizes"), config))
-    c = d.select("*", F.posexplode("ranges").alias("posicion", "r"))
-    texto = X.strip(F.array_join(F.slice("sents", F.col("r.start") + 1, F.col("r.stop") - F.col("r.start")), " "))
+    d = X.once(docs, "sents", X.document_sentences(F.col("texto")))
+    d = X.once(d, "sizes", F.transform("sents", X.word_count))
+    d = X.once(d, "ranges", chunk_ranges(F.col("sizes"), config))
+    # texts are cut out before the explode, so that its rows do not each carry the document
+    texts = F.transform("ranges", lambda r: X.strip(F.array_join(F.slice(F.col("sents"), r["start"] + 1, r["stop"] - r["start"]), " ")))
+    c = d.select("doc_id", "fuente", "formato", "fenomeno", "idioma", F.posexplode(texts).alias("posicion", "texto"))
     out = c.select(
         F.col("doc_id").cast("string").alias("doc_id"),
         F.format_string("%s-chunk-%03d", F.col("doc_id").cast("string"), "posicion").alias("chunk_id"),
@@ -64,7 +64,7 @@ def chunks(docs: DataFrame, config: ChunkConfig = ChunkConfig(), count_tokens: C
         X.clamp_format(F.col("formato")).alias("formato"),
         F.coalesce(F.col("fenomeno").cast("string").try_cast("int"), F.lit(1)).alias("fenomeno"),
         "posicion",
-        texto.alias("texto"),
+        "texto",
         X.clamp_language(F.col("idioma")).alias("idioma"),
     )
     return out.withColumn("num_tokens", count_tokens(F.col("texto")))

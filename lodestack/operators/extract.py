@@ -20,8 +20,7 @@ PROSE_MARKS = ("popup", "description", "resumen", "texto", "notes")
 def contract(docs: DataFrame, source_type: str, phenomenon: str = "1", language: Column | None = None) -> DataFrame:
     """Raw documents (``doc_id, raw_text, metadata, path``) to processed ones; empty texts go.
     A missing id becomes a hash of path and text, so that reruns agree."""
-    texto = X.clean_text(F.col("raw_text"))
-    d = docs.withColumn("texto", texto).where(F.col("texto") != "")
+    d = X.once(docs, "texto", X.clean_text(F.col("raw_text"))).where(F.col("texto") != "")
     meta = F.col("metadata")
     return d.select(
         "texto",

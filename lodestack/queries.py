@@ -47,7 +47,8 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as the chunker takes them."""
     d = docs_of(spark, sf_dir)
-    return d.select("doc_id", X.clean_text(F.col("text")).alias("texto"), F.col("source").alias("fuente"), F.lit("pdf").alias("formato"), F.lit(1).alias("fenomeno"), F.col("lang").alias("idioma"))
+    d = X.once(d, "texto", X.clean_text(F.col("text")))
+    return d.select("doc_id", "texto", F.col("source").alias("fuente"), F.lit("pdf").alias("formato"), F.lit(1).alias("fenomeno"), F.col("lang").alias("idioma"))
 
 
 # ---- text
