@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,14 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, else what the
-    context already uses, else (local masters only) a temporary folder of this machine."""
+    context already uses, else (local masters only) a temporary folder of this machine, which
+    goes when the process ends. Tables in a given folder stay for its owner to clear."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if found:
         return found.rstrip("/")
     if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestack-"))
+    folder = tempfile.mkdtemp(prefix="lodestack-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
     return sc.getCheckpointDir().rstrip("/")
 
 

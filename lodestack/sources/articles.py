@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
 from typing import Any
@@ -100,8 +99,3 @@ def documents(files: DataFrame) -> DataFrame:
     good = flatten(parsed.where("error IS NULL")).withColumn("error", F.lit(None).cast("string"))
     bad = parsed.where("error IS NOT NULL").select("path", F.lit(None).cast("string").alias("doc_id"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("raw_text"), F.lit(None).cast("map<string,string>").alias("metadata"), "error")
     return good.unionByName(bad)
-
-
-def stable_id(*parts: str) -> str:
-    """An id from content, where there is none: reruns agree."""
-    return hashlib.sha256("|".join(parts).encode()).hexdigest()
