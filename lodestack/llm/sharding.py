@@ -159,9 +159,7 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
     groups = cut(base.groupBy("h").agg(F.sum("size").alias("bytes")), "groups")
     _, firsts = plan_cuts(groups, n_shards)
     discard(groups)
-    number = F.lit(0)
-    for first in firsts:
-        if first is not None:
-            number = number + F.when(F.col("h") >= first, 1).otherwise(0)
+    bounds = F.array(*[F.lit(f) for f in firsts if f is not None]).cast("array<bigint>")
+    number = F.size(F.filter(bounds, lambda first: first <= F.col("h")))
     placed = number_within(base.withColumn("shard", number.cast("int")), "shard", ["h", "id", "size"], "slot")
     return placed.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
