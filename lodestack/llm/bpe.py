@@ -26,7 +26,7 @@ from .common import bound_batches
 #: Codepoints that are scanned together, and steps of a block of the scan.
 CHUNK, BLOCK = 1 << 18, 64
 #: Pieces whose merges a worker remembers.
-MEMO = 100_000
+MEMO = 60_000
 #: Pieces of at most so many bytes are merged by search, longer ones with a heap.
 SHORT = 48
 
@@ -312,19 +312,19 @@ def shared_codec(spark: SparkSession, path: str):
 
 
 def encode(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
-    """Adds ``ids`` (array<int>), ``id_starts`` (array<long>, byte offsets) and ``round_trip``
+    """Adds ``ids`` (array<int>), ``id_starts`` (array<int>, byte offsets) and ``round_trip``
     (do the ids decode to the text's bytes?). Null text: empty arrays."""
     codec = shared_codec(docs.sparkSession, path or tokenizer_path())
 
-    @F.arrow_udf("struct<ids: array<int>, id_starts: array<bigint>, round_trip: boolean>")
+    @F.arrow_udf("struct<ids: array<int>, id_starts: array<int>, round_trip: boolean>")
     def of(texts: pa.Array) -> pa.Array:
         c, ids, starts, same = codec(), [], [], []
         for part in chunks(texts):
             for text, (found, _) in zip(part, c.encode(part), strict=True):
                 ids.append(np.array(found, np.int32))
-                starts.append(c.token_starts(found))
+                starts.append(c.token_starts(found).astype(np.int32))
                 same.append(c.decode(found) == text)
-        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64())), pa.array(same, pa.bool_())], ["ids", "id_starts", "round_trip"])
+        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["ids", "id_starts", "round_trip"])
 
     out = docs.withColumn("__bpe", of(F.col(text_col).cast("string")))
     return out.withColumns({c: F.col("__bpe")[c] for c in ("ids", "id_starts", "round_trip")}).drop("__bpe")

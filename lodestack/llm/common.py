@@ -10,7 +10,7 @@ from ..shared import cut, discard, new_path, shared_dir
 __all__ = ["cut", "discard", "new_path", "shared_dir"]
 
 #: Bytes of an Arrow batch on its way to Python (a longer row goes alone).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
