@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import bound_batches
 
 #: Codepoints that are scanned together, and steps of a block of the scan.
-CHUNK, BLOCK = 1 << 18, 64
-#: Pieces whose merges a worker remembers.
-MEMO = 60_000
+CHUNK, BLOCK = 1 << 19, 64
+#: Pieces of one generation of a worker's memory; there are two, and what is used moves on.
+MEMO = 120_000
 #: Pieces of at most so many bytes are merged by search, longer ones with a heap.
 SHORT = 48
 
@@ -175,16 +175,22 @@ def symbols_of(codepoints: np.ndarray, firsts: np.ndarray, classes: np.ndarray)
 
 
 class _Merges(dict):
-    """Piece -> ids, merged when first asked for."""
+    """Piece -> ids, merged when first asked for. When a generation is full it becomes the old
+    one; pieces that are asked for again come back from there, the others go."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
+        self.old: dict[bytes, tuple[int, ...]] = {}
 
     def __missing__(self, piece: bytes) -> tuple[int, ...]:
         if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
-        got = self[piece] = merge(piece, self.ranks)
+        got = self.old.get(piece)
+        if got is None:
+            got = merge(piece, self.ranks)
+        self[piece] = got
         return got
 
 
