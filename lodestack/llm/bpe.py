@@ -26,7 +26,7 @@ from .common import bound_batches
 #: Codepoints that are scanned together, and steps of a block of the scan.
 CHUNK, BLOCK = 1 << 19, 64
 #: Pieces of one generation of a worker's memory; there are two, and what is used moves on.
-MEMO = 120_000
+MEMO = 200_000
 #: Pieces of at most so many bytes are merged by search, longer ones with a heap.
 SHORT = 48
 
