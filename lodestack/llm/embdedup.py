@@ -3,10 +3,12 @@
 Equal vectors are one class. Neighbour lists start from random-hyperplane buckets and are refined
 through neighbours-of-neighbours joins: the vectors of a node's neighbours, forward and reverse,
 meet and are compared, and a pair enters a list where it improves it. Rounds go on until no new
-link appears. Lists full of links are saturated: they are enlarged to the node's whole component,
-compared in blocks, so that link counts are not bounded by the list length. Recall is audited
-against brute force for a sample of the vectors; below the target the lists are doubled and
-refined again.
+link appears. Every compared pair at the threshold counts, whether a list has room for it or not:
+a bucket and a meeting report links that span all of theirs, and the links give components. A node
+has two lists, the nearest in its component and the nearest outside, so that links known fill
+the first only and the second goes on past them, however large the component. Link counts come
+from all pairs of a component, compared in blocks. Recall is audited against brute force for a
+sample of the vectors; below the target the lists are doubled and refined again.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from .components import connected_components
 
 #: Length of the lists, buckets in which a vector starts, mean vectors in a bucket.
 NEIGHBOURS, TABLES, BUCKET = 8, 8, 48
-#: Vectors compared at once; reverse neighbours of a node that join a round (the others meet
-#: it in their own lists and in the component pass).
+#: Vectors compared at once; reverse neighbours of a node in a meeting (more meet in further ones,
+#: each with the node's own lists).
 BLOCK, REVERSE = 512, 16
 #: Most rounds of refinement, vectors audited, recall wanted, times the lists may be doubled.
 ROUNDS, AUDIT, RECALL, DOUBLINGS = 5, 400, 0.97, 2
@@ -49,6 +51,22 @@ def _top(sims: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-sims, k - 1, axis=1)[:, :k]
 
 
+def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest with the same components as the links in a symmetric matrix."""
+    a, b, rest = [], [], near.any(1)
+    for first in np.flatnonzero(rest).tolist():
+        front = [first] if rest[first] else []
+        rest[first] = False
+        while front:
+            x = front.pop()
+            got = np.flatnonzero(near[x] & rest)
+            rest[got] = False
+            a += [x] * len(got)
+            b += got.tolist()
+            front += got.tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def _bytes(column: pa.Array) -> list[bytes]:
     return [x.as_buffer().to_pybytes() for x in column]
 
@@ -80,7 +98,13 @@ def _out(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c)) for c in columns], names)
 
 
-_EDGE = "node long, nbr long, sim double"
+#: A pair for a list or (``link``) one that joins two components.
+_EDGE = "node long, nbr long, sim double, link int"
+_NAMES = ["node", "nbr", "sim", "link"]
+
+
+def _pairs(node: np.ndarray, sims: np.ndarray, a: np.ndarray, b: np.ndarray, link: int) -> pa.RecordBatch:
+    return _out(_NAMES, node[a], node[b], sims[a, b], np.full(len(a), link, np.int32))
 
 
 class Descent:
@@ -89,11 +113,12 @@ class Descent:
     def __init__(self, classes: DataFrame, dtype, threshold: float):
         self.classes, self.dtype, self.threshold = classes, dtype, threshold
         self.size = classes.count()
+        self.roots: DataFrame | None = None
 
     def start(self, k: int) -> DataFrame:
         """Lists from random-hyperplane buckets."""
         bits = int(np.clip(np.ceil(np.log2(max(self.size, 1) / BUCKET)), 0, 22))
-        dtype = self.dtype
+        dtype, threshold = self.dtype, self.threshold
 
         def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -117,59 +142,94 @@ class Descent:
                         sims = x @ x.T
                         np.fill_diagonal(sims, -2)
                         top = _top(sims, min(k, part.num_rows - 1))
-                        yield _out(["node", "nbr", "sim"], np.repeat(node, top.shape[1]), node[top].ravel(), np.take_along_axis(sims, top, 1).ravel())
+                        yield _pairs(node, sims, np.repeat(np.arange(len(node)), top.shape[1]), top.ravel(), 0)
+                        yield _pairs(node, sims, *_spanning(sims >= threshold), 1)
 
         dealt = self.classes.select("node", "v").mapInArrow(keys, "key long, node long, v binary")
-        dealt = dealt.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-        return self.best(dealt.mapInArrow(tops, _EDGE).withColumn("new", F.lit(1)), k)
-
-    @staticmethod
-    def best(edges: DataFrame, k: int) -> DataFrame:
-        """The k best neighbours of every node; an edge is new if it was not there before."""
-        one = edges.groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "nbr"))
-        return cut(one.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), "lists")
+        # by a hash of both, as the blocks of a large bucket should differ from table to table
+        dealt = dealt.withColumn("at", F.xxhash64("key", "node")).repartitionByRange("key", "at").sortWithinPartitions("key", "at")
+        return self.best(dealt.select("key", "node", "v").mapInArrow(tops, _EDGE).withColumn("new", F.lit(1)), k)
+
+    def with_same(self, edges: DataFrame) -> DataFrame:
+        """Adds ``root`` of the node and ``same``: whether both ends are in one component."""
+        if self.roots is None:
+            return edges.withColumn("root", F.col("node")).withColumn("same", F.lit(False))
+        other = self.roots.select(F.col("node").alias("nbr"), F.col("root").alias("other"))
+        met = edges.join(self.roots, "node", "left").join(other, "nbr", "left")
+        return met.withColumn("same", F.coalesce(F.col("root") == F.col("other"), F.lit(False))).withColumn("root", F.coalesce("root", "node")).drop("other")
+
+    def best(self, edges: DataFrame, k: int) -> DataFrame:
+        """The k best neighbours of every node in its component and outside (``listed``), and all
+        links between components; an edge is new if it was not there before."""
+        one = edges.groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.min("new").alias("new"), F.max("link").alias("link"))
+        rank = F.row_number().over(Window.partitionBy("node", "same").orderBy(F.desc("sim"), "nbr"))
+        one = self.with_same(one).withColumn("listed", rank <= k).where("listed OR link = 1")
+        return cut(one.select("node", "nbr", "sim", "new", "link", "listed"), "lists")
 
     def refine(self, lists: DataFrame, k: int) -> DataFrame:
         """One neighbours-of-neighbours join."""
-        floor = lists.groupBy("node").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("floor"))
-        vectors = self.classes.select("node", "v").join(floor, "node", "left").select(F.col("node").alias("w"), "v", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
-        back = lists.select(F.col("nbr").alias("u"), F.col("node").alias("w"), "new", "sim")
-        rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("new"), F.desc("sim"), "w"))
-        back = back.withColumn("rank", rank).where(F.col("rank") <= REVERSE).drop("rank", "sim")
-        both = lists.select(F.col("node").alias("u"), F.col("nbr").alias("w"), "new").unionByName(back)
-        both = both.groupBy("u", "w").agg(F.max("new").alias("new")).join(vectors, "w")
-        dtype = self.dtype
+        lists = lists.where("listed").select("node", "nbr", "sim", "new")
+
+        def lowest(same: bool):
+            here = F.col("same") == F.lit(same)
+            return F.when(F.count_if(here) >= k, F.min(F.when(here, F.col("sim")))).otherwise(-2.0)
+
+        floor = self.with_same(lists).groupBy("node").agg(F.first("root").alias("root"), lowest(True).alias("inner"), lowest(False).alias("outer"))
+        vectors = self.classes.select("node", "v").join(floor, "node", "left").select(F.col("node").alias("w"), "v", F.coalesce("root", "node").alias("root"), F.coalesce("inner", F.lit(-2.0)).alias("inner"), F.coalesce("outer", F.lit(-2.0)).alias("outer"))
+        back = lists.select(F.col("nbr").alias("u"), F.col("node").alias("w"), "new")
+        meetings = back.groupBy("u").agg(F.ceil(F.count("*") / F.lit(REVERSE)).cast("int").alias("meetings"))
+        back = back.join(meetings, "u").select("u", F.pmod(F.xxhash64("w"), "meetings").cast("int").alias("m"), "w", "new")
+        own = lists.select(F.col("node").alias("u"), F.col("nbr").alias("w"), "new").join(meetings, "u", "left")
+        own = own.select("u", F.explode(F.sequence(F.lit(0), F.coalesce("meetings", F.lit(1)) - 1)).alias("m"), "w", "new")
+        both = own.unionByName(back).groupBy("u", "m", "w").agg(F.max("new").alias("new")).join(vectors, "w")
+        dtype, threshold = self.dtype, self.threshold
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for g in _groups(batches, 1):
-                new = g.column(2).to_numpy() > 0
+            for g in _groups(batches, 2):
+                new = g.column(3).to_numpy() > 0
                 if g.num_rows < 2 or not new.any():
                     continue
-                w, low, x = g.column(1).to_numpy(), g.column(3).to_numpy(), _units(_bytes(g.column(4)), dtype)
+                w, root, inner, outer = (g.column(i).to_numpy() for i in (2, 4, 5, 6))
+                x = _units(_bytes(g.column(7)), dtype)
                 sims = x @ x.T
                 np.fill_diagonal(sims, -3)
-                a, b = np.nonzero((sims > low[:, None]) & (new[:, None] | new[None, :]))
-                if len(a):
-                    yield _out(["node", "nbr", "sim"], w[a], w[b], sims[a, b])
+                same = root[:, None] == root[None, :]
+                a, b = np.nonzero((sims > np.where(same, inner[:, None], outer[:, None])) & (new[:, None] | new[None, :]))
+                yield _pairs(w, sims, a, b, 0)
+                yield _pairs(w, sims, *_spanning((sims >= threshold) & ~same), 1)
 
-        dealt = both.select("u", "w", "new", "floor", "v").repartition("u").sortWithinPartitions("u", "w")
+        dealt = both.select("u", "m", "w", "new", "root", "inner", "outer", "v").repartition("u", "m").sortWithinPartitions("u", "m", "w")
         found = dealt.mapInArrow(meet, _EDGE).withColumn("new", F.lit(1))
-        return self.best(found.unionByName(lists.withColumn("new", F.lit(0))), k)
+        return self.best(found.unionByName(lists.withColumn("new", F.lit(0)).withColumn("link", F.lit(0))), k)
+
+    def unite(self, lists: DataFrame) -> bool:
+        """Takes the links of a round into the components; whether they changed. ``roots`` has
+        every node that is linked."""
+        fresh = self.with_same(lists.where("link = 1")).where("NOT same").select(F.col("node").alias("a"), F.col("nbr").alias("b"))
+        if self.roots is not None:
+            if fresh.isEmpty():
+                return False
+            fresh = fresh.unionByName(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        before, self.roots = self.roots, cut(connected_components(fresh), "roots")
+        if before is None:
+            return not self.roots.isEmpty()
+        discard(before)
+        return True
 
     def run(self, lists: DataFrame, k: int) -> DataFrame:
+        self.unite(lists)
         for _ in range(ROUNDS):
             after = self.refine(lists, k)
             discard(lists)
             lists = after
-            if not lists.where((F.col("new") == 1) & (F.col("sim") >= self.threshold)).limit(1).count():
+            if not self.unite(lists):
                 break
         return lists
 
-    def links(self, lists: DataFrame) -> DataFrame:
-        """Threshold edges -> components -> all links inside them. ``node``, ``root``, ``links``
-        (other rows linked, copies counted), ``partners`` (other classes linked)."""
-        roots = cut(connected_components(lists.where(F.col("sim") >= self.threshold).select(F.col("node").alias("a"), F.col("nbr").alias("b"))), "roots")
+    def links(self) -> DataFrame:
+        """All links inside the components. ``node``, ``root``, ``links`` (other rows linked,
+        copies counted), ``partners`` (other classes linked)."""
+        roots = self.roots
         blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
         placed = roots.join(blocks, "root").withColumn("b", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         pairs = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -246,13 +306,13 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
     packed = cut(classes.select("node", pack("e").alias("v"), "n"), "vectors")
     descent = Descent(packed, dtype, threshold)
     lists = descent.run(descent.start(k), k)
-    linked = descent.links(lists)
+    linked = descent.links()
     for _ in range(DOUBLINGS):
         if descent.recall(linked) >= RECALL:
             break
         k *= 2
         lists = descent.run(descent.best(lists.withColumn("new", F.lit(1)), k), k)
-        linked = descent.links(lists)
+        linked = descent.links()
     named = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("component")), "root")
     named = named.select("e", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component")

@@ -90,3 +90,16 @@ def test_near_dedup_keeps_one_of_repeated_ids(spark):
 def test_pipeline_empty(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_links_between_groups_larger_than_a_list(spark):
+    r = np.random.default_rng(8)
+    axes = np.linalg.qr(r.normal(size=(128, 128)))[0]
+    centres = [axes[0], 0.97 * axes[0] + np.sqrt(1 - 0.97**2) * axes[1]]
+    noise = np.linalg.qr(r.normal(size=(126, 126)))[0] @ axes[2:]
+    vectors = [(np.sqrt(0.99) * centres[i // 40] + np.sqrt(0.01) * noise[i]).tolist() for i in range(80)]
+    vectors += r.normal(size=(60, 128)).tolist()
+    ids = list(range(len(vectors)))
+    got = embdedup.near_duplicates(spark.createDataFrame(list(zip(ids, vectors, strict=True)), "vec_id long, embedding array<double>")).collect()
+    assert sorted(((x.vec_id, x.n_links, x.component_id) for x in got), key=str) == plain(ids, vectors)
+    assert sum(x.kept for x in got) == 61
