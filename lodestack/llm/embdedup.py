@@ -7,8 +7,10 @@ link appears. Every compared pair at the threshold counts, whether a list has ro
 a bucket and a meeting report links that span all of theirs, and the links give components. A node
 has two lists, the nearest in its component and the nearest outside, so that links known fill
 the first only and the second goes on past them, however large the component. Link counts come
-from all pairs of a component, compared in blocks. Recall is audited against brute force for a
-sample of the vectors; below the target the lists are doubled and refined again.
+from all pairs of a component, compared in blocks. The number of bucket tables grows with the input,
+so that a pair at the threshold meets in one of them with probability ``RECALL``. The mean recall of
+rows that have links is audited against brute force for a sample that grows too; below the target
+the lists are doubled and refined again, and if that does not help, all vectors are compared.
 """
 
 from __future__ import annotations
@@ -24,13 +26,22 @@ from pyspark.sql import types as T
 from .common import bound_batches, cut, discard
 from .components import connected_components
 
-#: Length of the lists, buckets in which a vector starts, mean vectors in a bucket.
+#: Length of the lists, least buckets in which a vector starts, mean vectors in a bucket.
 NEIGHBOURS, TABLES, BUCKET = 8, 8, 48
 #: Vectors compared at once; reverse neighbours of a node in a meeting (more meet in further ones,
 #: each with the node's own lists).
 BLOCK, REVERSE = 512, 16
-#: Most rounds of refinement, vectors audited, recall wanted, times the lists may be doubled.
-ROUNDS, AUDIT, RECALL, DOUBLINGS = 5, 400, 0.97, 2
+#: Recall wanted, times the lists may be doubled before all vectors are compared.
+RECALL, DOUBLINGS = 0.99, 2
+#: Least vectors audited and how many a root of the classes; rows with links that an audit should
+#: meet, times it grows fourfold to meet them; vectors broadcast at once.
+AUDIT, AUDIT_ROOT, AUDIT_LINKED, AUDIT_GROWS, AUDIT_BLOCK = 2000, 8, 50, 2, 8192
+
+
+def n_tables(bits: int, threshold: float) -> int:
+    """Tables in which a pair at the threshold shares a bucket once with probability RECALL."""
+    one = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    return TABLES if one >= 1 else max(TABLES, int(np.ceil(np.log(1 - RECALL) / np.log1p(-one))))
 
 
 def valid(e: str) -> Column:
@@ -118,7 +129,7 @@ class Descent:
     def start(self, k: int) -> DataFrame:
         """Lists from random-hyperplane buckets."""
         bits = int(np.clip(np.ceil(np.log2(max(self.size, 1) / BUCKET)), 0, 22))
-        dtype, threshold = self.dtype, self.threshold
+        dtype, threshold, tables = self.dtype, self.threshold, n_tables(bits, self.threshold)
 
         def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -127,10 +138,10 @@ class Descent:
                 for s in np.unique(sizes):
                     at = np.flatnonzero(sizes == s)
                     x = _units([bodies[i] for i in at], dtype)
-                    planes = np.random.default_rng([7, int(s)]).standard_normal((x.shape[1], TABLES * bits))
-                    signs = (x @ planes > 0).reshape(len(at), TABLES, bits).astype(np.int64)
-                    code = (signs << np.arange(bits)).sum(2) + (np.arange(TABLES) << 56) + (int(s) << 24)
-                    for t in range(TABLES):
+                    planes = np.random.default_rng([7, int(s)]).standard_normal((x.shape[1], tables * bits))
+                    signs = (x @ planes > 0).reshape(len(at), tables, bits).astype(np.int64)
+                    code = (signs << np.arange(bits)).sum(2) + (np.arange(tables) << 56) + (int(s) << 24)
+                    for t in range(tables):
                         yield pa.RecordBatch.from_arrays([pa.array(code[:, t]), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["key", "node", "v"])
 
         def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,24 +228,44 @@ class Descent:
         return True
 
     def run(self, lists: DataFrame, k: int) -> DataFrame:
+        """Rounds until one brings no new link, neither between components nor into a list."""
         self.unite(lists)
-        for _ in range(ROUNDS):
+        while True:
             after = self.refine(lists, k)
             discard(lists)
             lists = after
-            if not self.unite(lists):
-                break
-        return lists
+            if not self.unite(lists) and lists.where((F.col("new") == 1) & (F.col("sim") >= self.threshold)).isEmpty():
+                return lists
 
-    def links(self) -> DataFrame:
-        """All links inside the components. ``node``, ``root``, ``links`` (other rows linked,
-        copies counted), ``partners`` (other classes linked)."""
-        roots = self.roots
+    def compare_all(self) -> None:
+        """Components from all pairs, compared in blocks."""
+        dtype, threshold = self.dtype, self.threshold
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for g in _groups(batches, 3):
+                node, x = g.column(4).to_numpy(), _units(_bytes(g.column(6)), dtype)
+                near = x @ x.T >= threshold
+                np.fill_diagonal(near, False)
+                a, b = _spanning(near)
+                yield _out(["a", "b"], node[a], node[b])
+
+        every = self.classes.select("node", F.octet_length("v").cast("long").alias("root"))
+        self.roots = cut(connected_components(self.in_blocks(every).mapInArrow(join, "a long, b long")), "roots")
+
+    def in_blocks(self, roots: DataFrame) -> DataFrame:
+        """The vectors of each root, dealt so that any two blocks of them meet: ``root``, ``i``,
+        ``j``, ``b`` (the row's block), ``node``, ``n``, ``v``."""
         blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
         placed = roots.join(blocks, "root").withColumn("b", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         pairs = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         placed = placed.select("root", "node", "b", pairs.alias("o")).join(self.classes, "node")
         placed = placed.select("root", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "n", "v")
+        return placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+
+    def links(self) -> DataFrame:
+        """All links inside the components. ``node``, ``root``, ``links`` (other rows linked,
+        copies counted), ``partners`` (other classes linked)."""
+        roots = self.roots
         dtype, threshold = self.dtype, self.threshold
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,17 +280,28 @@ class Descent:
                         near = (x[at] @ x[cols].T >= threshold) & (node[at][:, None] != node[cols][None, :])
                         yield _out(["node", "links", "partners"], node[at], near @ n[cols], near.sum(1).astype(np.int64))
 
-        dealt = placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
-        counts = dealt.mapInArrow(count, "node long, links long, partners long").groupBy("node").agg(F.sum("links").alias("links"), F.sum("partners").alias("partners"))
+        counts = self.in_blocks(roots).mapInArrow(count, "node long, links long, partners long").groupBy("node").agg(F.sum("links").alias("links"), F.sum("partners").alias("partners"))
         return cut(roots.join(counts, "node", "left"), "links")
 
-    def recall(self, linked: DataFrame, sample: int = AUDIT) -> float:
-        """Found among true links of sampled classes, every class compared with them."""
-        some = self.classes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(sample).select("node", "v").collect()
-        if not some:
-            return 1.0
+    def recall(self, linked: DataFrame) -> float:
+        """Mean share of its links found, of sampled classes that have any; every class is
+        compared with them. The sample grows until enough have links."""
+        size = max(AUDIT, int(AUDIT_ROOT * self.size**0.5))
+        order = self.classes.select("node", "v").orderBy(F.xxhash64("node", F.lit("audit")))
+        rows: list[tuple[int, int]] = []  # node, true links
+        for grown in range(AUDIT_GROWS + 1):
+            done, some = len(rows), order.limit(min(size << 2 * grown, self.size)).collect()
+            for at in range(done, len(some), AUDIT_BLOCK):
+                rows += self._true_links([(r["node"], bytes(r["v"])) for r in some[at : at + AUDIT_BLOCK]])
+            if sum(t > 0 for _, t in rows) >= AUDIT_LINKED or len(rows) >= self.size:
+                break
+        true = self.classes.sparkSession.createDataFrame([r for r in rows if r[1] > 0], "node long, true long")
+        share = F.coalesce("partners", F.lit(0)) / F.col("true")
+        return true.join(linked.select("node", "partners"), "node", "left").agg(F.coalesce(F.avg(share), F.lit(1.0))).first()[0]
+
+    def _true_links(self, some: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
         dtype, threshold = self.dtype, self.threshold
-        shared = self.classes.sparkSession.sparkContext.broadcast([(r["node"], bytes(r["v"])) for r in some])
+        shared = self.classes.sparkSession.sparkContext.broadcast(some)
 
         def true(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by: dict[int, list] = {}
@@ -275,9 +317,8 @@ class Descent:
                         near = (_units([v for _, v in queries], dtype) @ _units([bodies[i] for i in at], dtype).T >= threshold) & (ids[:, None] != nodes[at][None, :])
                         yield _out(["node", "true"], ids, near.sum(1).astype(np.int64))
 
-        true_links = self.classes.select("node", "v").mapInArrow(true, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-        row = true_links.join(linked.select("node", "partners"), "node", "left").agg(F.sum("true").alias("t"), F.sum(F.coalesce("partners", F.lit(0))).alias("f")).first()
-        return (row["f"] / row["t"]) if row["t"] else 1.0
+        found = self.classes.select("node", "v").mapInArrow(true, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
+        return [(r["node"], r["true"]) for r in found.collect()]
 
 
 def near_duplicates(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS) -> DataFrame:
@@ -307,11 +348,14 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
     descent = Descent(packed, dtype, threshold)
     lists = descent.run(descent.start(k), k)
     linked = descent.links()
-    for _ in range(DOUBLINGS):
+    for doubled in range(DOUBLINGS + 1):
         if descent.recall(linked) >= RECALL:
             break
-        k *= 2
-        lists = descent.run(descent.best(lists.withColumn("new", F.lit(1)), k), k)
+        if doubled < DOUBLINGS:
+            k *= 2
+            lists = descent.run(descent.best(lists.withColumn("new", F.lit(1)), k), k)
+        else:
+            descent.compare_all()
         linked = descent.links()
     named = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("component")), "root")

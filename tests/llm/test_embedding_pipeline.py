@@ -103,3 +103,24 @@ def test_links_between_groups_larger_than_a_list(spark):
     got = embdedup.near_duplicates(spark.createDataFrame(list(zip(ids, vectors, strict=True)), "vec_id long, embedding array<double>")).collect()
     assert sorted(((x.vec_id, x.n_links, x.component_id) for x in got), key=str) == plain(ids, vectors)
     assert sum(x.kept for x in got) == 61
+
+
+def test_recall_counts_rows_and_all_is_compared_below_the_target(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    hot = r.normal(size=32) + 0.02 * r.normal(size=(60, 32))
+    lone = r.normal(size=(40, 32))
+    x = np.concatenate([hot, lone, lone + 0.01 * r.normal(size=(40, 32))])
+    classes = spark.createDataFrame([(i, bytearray(v.tobytes()), 1) for i, v in enumerate(x)], "node long, v binary, n long")
+    descent = embdedup.Descent(classes, np.float64, 0.95)
+    linked = spark.createDataFrame([(i, 59) for i in range(60)], "node long, partners long")
+    assert abs(descent.recall(linked) - 60 / 140) < 1e-9
+    monkeypatch.setattr(embdedup.Descent, "start", lambda self, k: self.best(spark.createDataFrame([], "node long, nbr long, sim double, link int, new int"), k))
+    vectors, ids = x.tolist(), list(range(len(x)))
+    got = embdedup.near_duplicates(spark.createDataFrame(list(zip(ids, vectors, strict=True)), "vec_id long, embedding array<double>")).collect()
+    assert sorted(((v.vec_id, v.n_links, v.component_id) for v in got), key=str) == plain(ids, vectors)
+
+
+def test_tables_grow_with_the_bits():
+    p = 1 - np.arccos(0.95) / np.pi
+    assert embdedup.n_tables(0, 0.95) == embdedup.TABLES
+    assert all(1 - (1 - p**bits) ** embdedup.n_tables(bits, 0.95) >= 0.99 for bits in range(1, 23))
