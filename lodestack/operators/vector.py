@@ -218,22 +218,32 @@ class NSW:
 
     def search(self, queries: DataFrame, k: int = 50) -> DataFrame:
         q_type, v_type = queries.schema["query_id"].dataType.simpleString(), self.vectors.schema["item_id"].dataType.simpleString()
-        head = queries.select("query_id", "embedding").limit(BROADCAST_QUERIES + 1).collect()
-        if len(head) > BROADCAST_QUERIES:
-            raise ValueError(f"search at most {BROADCAST_QUERIES} queries at a time here, or use Flat")
-        shared = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in head], matrix([r["embedding"] for r in head], True)))
+        schema = f"query_id {q_type}, item_id {v_type}, score double"
         m, bb, bs, walk, graph = self.m, self.beam_build, max(self.beam_search, k), self._walk, self.graph
 
-        def shard(v: pd.DataFrame) -> pd.DataFrame:
-            ids, q = shared.value
+        def found_in(v: pd.DataFrame, ids: list, q: np.ndarray) -> pd.DataFrame:
             v = v.sort_values("item_id")
             x = matrix(v["embedding"], True)
             edges, items = graph(x, m, bb), v["item_id"].tolist()
             rows = [(qi, items[j], round(s, DECIMALS)) for qi, vec in zip(ids, q, strict=True) for s, j in walk(x, edges, vec, bs, len(x))[:k]]
             return pd.DataFrame(rows, columns=["query_id", "item_id", "score"])
 
-        found = self.vectors.groupBy("shard").applyInPandas(shard, f"query_id {q_type}, item_id {v_type}, score double")
-        return ranked(found, k)
+        head = queries.select("query_id", "embedding").limit(BROADCAST_QUERIES + 1).collect()
+        if len(head) <= BROADCAST_QUERIES:
+            shared = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in head], matrix([r["embedding"] for r in head], True)))
+            return ranked(self.vectors.groupBy("shard").applyInPandas(lambda v: found_in(v, *shared.value), schema), k)
+        n_q = -(-queries.count() // QUERY_BLOCK)
+        n = self.vectors.agg(F.max("shard")).first()[0]
+        shards = F.explode(F.sequence(F.lit(0), F.lit(n or 0)))
+        left = queries.select("query_id", "embedding", F.pmod(F.hash("query_id"), F.lit(n_q)).alias("qb"), shards.alias("shard"))
+        right = self.vectors.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+
+        def pair(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(v):
+                return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+            return found_in(v, q["query_id"].tolist(), matrix(q["embedding"], True))
+
+        return ranked(left.groupBy("qb", "shard").cogroup(right.groupBy("qb", "shard")).applyInPandas(pair, schema), k)
 
 
 INDEXES = {"flat": Flat, "ivfflat": IVF, "hnsw": NSW}

@@ -157,6 +157,15 @@ def test_flat_paths_agree_and_indexes_recall(spark, monkeypatch):
     assert [vector.ivf_cells(n) for n in (0, 1, 99, 143_599)] == [1, 1, 9, 100]
 
 
+def test_small_worlds_take_queries_beyond_the_bound(spark, monkeypatch):
+    v, q = points(spark, n=120)
+    index = vector.NSW(shard_rows=50).build(v)
+    want = {(r.query_id, r.item_id, r["rank"]) for r in index.search(q, 5).collect()}
+    monkeypatch.setattr(vector, "BROADCAST_QUERIES", 5)
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 4)
+    assert {(r.query_id, r.item_id, r["rank"]) for r in index.search(q, 5).collect()} == want and len(want) == 60
+
+
 def test_ties_go_to_the_lower_id(spark):
     v = spark.createDataFrame([(i, [1.0, 0.0]) for i in (5, 3, 9, 1)], "item_id int, embedding array<float>")
     q = spark.createDataFrame([(0, [2.0, 0.0])], "query_id int, embedding array<float>")
