@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..shared import cut
 from .extract import first_per
 
 MAX_EDITS, PREFIX = 2, 7
-#: Words of a dictionary that a corrector holds (most frequent first).
-MODEL_WORDS = 100_000
 
 
 def dictionary(texts: DataFrame, text: str) -> DataFrame:
@@ -32,12 +31,17 @@ def deletes(word: Column, edits: int = MAX_EDITS, prefix: int = PREFIX) -> Colum
     return out
 
 
+def met(words: DataFrame, entries: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
+    """``token, word, count`` of entries that share a delete with the token."""
+    a = words.select("token", F.explode(deletes(F.col("token"), edits)).alias("d"))
+    b = entries.select("word", "count", F.explode(deletes(F.col("word"), edits)).alias("d"))
+    return a.join(b, "d").where(F.abs(F.length("token") - F.length("word")) <= edits).select("token", "word", "count").distinct()
+
+
 def nearest(words: DataFrame, entries: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """For each ``token`` the entry within ``edits`` by (distance, larger count, word): an
     equality join on deletes, verified. Returns token, word, distance."""
-    a = words.select("token", F.explode(deletes(F.col("token"), edits)).alias("d"))
-    b = entries.select("word", "count", F.explode(deletes(F.col("word"), edits)).alias("d"))
-    pairs = a.join(b, "d").select("token", "word", "count").distinct()
+    pairs = met(words, entries, edits)
     pairs = pairs.withColumn("distance", F.levenshtein("token", "word")).where(F.col("distance") <= edits)
     return first_per(pairs, "token", ["distance", F.desc("count"), "word"]).select("token", "word", "distance")
 
@@ -70,6 +74,13 @@ class Corrector:
             for d in self._cuts(w):
                 self.index.setdefault(d, []).append(w)
 
+    @classmethod
+    def looked_up(cls, best: dict[str, tuple[str, int]], counts: dict[str, int], edits: int = MAX_EDITS) -> "Corrector":
+        """Of answers found elsewhere: the best of every word asked, counts of the halves."""
+        out = cls({}, edits)
+        out.counts, out.best = counts, best.get
+        return out
+
     def _cuts(self, word: str) -> set[str]:
         out = level = {word[:PREFIX]}
         for _ in range(self.edits):
@@ -109,10 +120,10 @@ class Corrector:
         return " ".join(x for _, x, _ in out)
 
 
-def corrected(text: Column, entries: DataFrame, most: int = MODEL_WORDS) -> Column:
-    """Compound correction; a text with an acronym stays as it is."""
-    rows = entries.orderBy(F.desc("count"), "word").limit(most).collect()
-    shared = entries.sparkSession.sparkContext.broadcast({r["word"]: r["count"] for r in rows})
+def corrected(text: Column, entries: DataFrame) -> Column:
+    """Compound correction; a text with an acronym stays as it is. Each worker holds the whole
+    dictionary; :func:`correct_texts` looks it up by a join."""
+    shared = entries.sparkSession.sparkContext.broadcast({r["word"]: r["count"] for r in entries.collect()})
     made: list[Corrector] = []
 
     @F.arrow_udf("string")
@@ -122,3 +133,58 @@ def corrected(text: Column, entries: DataFrame, most: int = MODEL_WORDS) -> Colu
         return pa.array([made[0].correct(t) if t else t for t in texts.to_pylist()], pa.string())
 
     return F.when(X.has_acronym(text), text).otherwise(of(text))
+
+
+def asked_words(text: str, longest: int) -> tuple[set[str], set[str]]:
+    """Words whose best entry a correction may ask for (single, and runs joined up to
+    ``longest`` letters, beyond which no entry is near), and halves of the single ones."""
+    words = [w if w.isalpha() else None for w in text.split()]
+    best, halves = set(), set()
+    for i, w in enumerate(words):
+        run = ""
+        for j in range(i, len(words)):
+            if words[j] is None or (run and len(run) + len(words[j]) > longest):
+                break
+            run += words[j].lower()
+            best.add(run)
+        if w:
+            low = w.lower()
+            halves |= {x for k in range(1, len(low)) for x in (low[:k], low[k:])}
+    return best, halves
+
+
+def correct_texts(texts: DataFrame, column: str, entries: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
+    """:func:`corrected` over a dictionary of any size: the words that texts ask for meet the
+    entries by deletes, halves by equality; a text gets the answers for its own words only."""
+    longest = (entries.agg(F.max(F.length("word"))).first()[0] or 0) + edits
+    plain = texts.select(F.col(column).alias("t")).where(F.col("t").isNotNull() & ~X.has_acronym(F.col("t"))).distinct()
+
+    @F.arrow_udf("array<struct<token: string, half: boolean>>")
+    def asks(t: pa.Array) -> pa.Array:
+        sets = [asked_words(x, longest) for x in t.to_pylist()]
+        rows = [[{"token": w, "half": h} for h, part in ((False, a), (True, b)) for w in sorted(part)] for a, b in sets]
+        return pa.array(rows, pa.list_(pa.struct([("token", pa.string()), ("half", pa.bool_())])))
+
+    @F.arrow_udf("int")
+    def edits_of(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([osa(x, y, edits) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
+
+    asked = cut(plain.select("t", F.inline(asks("t"))), "asked")
+    # two neighbours exchanged are one edit here, two by levenshtein
+    pairs = met(asked.where("NOT half").select("token").distinct(), entries, edits).where(F.levenshtein("token", "word") <= 2 * edits)
+    pairs = pairs.withColumn("distance", edits_of("token", "word")).where(F.col("distance") <= edits)
+    best = first_per(pairs, "token", ["distance", F.desc("count"), "word"])
+    best = asked.where("NOT half").join(best, "token").groupBy("t").agg(F.collect_list(F.struct("token", "word", "distance")).alias("best"))
+    halves = asked.where("half").join(entries.select(F.col("word").alias("token"), "count"), "token").groupBy("t").agg(F.collect_list(F.struct("token", "count")).alias("halves"))
+
+    @F.arrow_udf("string")
+    def of(t: pa.Array, b: pa.Array, h: pa.Array) -> pa.Array:
+        out = []
+        for x, near, parts in zip(t.to_pylist(), b.to_pylist(), h.to_pylist(), strict=True):
+            known = {r["token"]: (r["word"], r["distance"]) for r in near or ()}
+            out.append(Corrector.looked_up(known, {r["token"]: r["count"] for r in parts or ()}, edits).correct(x) if x else x)
+        return pa.array(out, pa.string())
+
+    done = plain.join(best, "t", "left").join(halves, "t", "left").select(F.col("t").alias(column), of("t", "best", "halves").alias("corrected_text"))
+    joined = texts.join(done, column, "left").withColumn(column, F.coalesce("corrected_text", column))
+    return joined.select(*texts.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import fusion
 from ..operators.embed import Encoder, embed
-from ..operators.spell import corrected
+from ..operators.spell import correct_texts
 from ..operators.vector import INDEXES
 from ..shared import cut
 
@@ -16,7 +16,7 @@ from ..shared import cut
 def prepare_queries(queries: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """``query_id, query_text`` cleaned, and spelling-corrected where a dictionary is given."""
     q = queries.withColumn("query_text", X.clean_query(F.col("query_text")))
-    return q if dictionary is None else q.withColumn("query_text", corrected(F.col("query_text"), dictionary))
+    return q if dictionary is None else correct_texts(q, "query_text", dictionary)
 
 
 def candidates(queries: DataFrame, chunks: DataFrame, encoders: list[Encoder], k: int = 50, index: str = "flat", language: bool = False) -> DataFrame:

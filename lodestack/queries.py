@@ -353,15 +353,16 @@ def acronym_guard(spark, sf_dir):
 
 @query
 def spell_nearest(spark, sf_dir):
-    words = spell.dictionary(docs_of(spark, sf_dir), "text").where("count >= 40")
+    words = spell.dictionary(docs_of(spark, sf_dir), "text")
     asked = spell.dictionary(questions(spark, sf_dir), "query_text").where(F.length("word") >= 4).select(F.concat("word", F.lit("x")).alias("token"))
     return spell.nearest(asked, words)
 
 
 @query
 def spell_correct(spark, sf_dir):
-    words = spell.dictionary(docs_of(spark, sf_dir), "text").where("count >= 3")
-    return questions(spark, sf_dir).select("query_id", spell.corrected(X.clean_query(F.col("query_text")), words).alias("corrected"))
+    words = cut(spell.dictionary(docs_of(spark, sf_dir), "text"), "dictionary")
+    asked = questions(spark, sf_dir).select("query_id", X.clean_query(F.col("query_text")).alias("corrected"))
+    return spell.correct_texts(asked, "corrected", words)
 
 
 def answered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

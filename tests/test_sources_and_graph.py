@@ -132,6 +132,26 @@ def test_compound_correction(spark):
     assert sorted(r.x for r in q.select(spell.corrected(F.col("t"), d).alias("x")).collect()) == ["IA defemsa", "defensa"]
 
 
+def test_spelling_over_the_whole_dictionary(spark, tmp_path):
+    from lodestack import queries
+
+    rare = {"defensa": 1, "ladefensas": 1, "la": 50, "sa": 2, "inteligencia": 9, "artificial": 7, "militares": 1}
+    texts = [" ".join([w] * n) for w, n in rare.items()]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = ["defensa militares", "la intelgencia artifcial", "ladefensa 42 x!", "defen sa", "IA defemsa", "", "mil it ares", "lasa edfensa", "defensa militares"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.token: (r.word, r.distance) for r in queries.queries()["spell_nearest"](spark, str(tmp_path)).collect()}
+    assert got["defensax"] == ("defensa", 1) and got["militaresx"] == ("militares", 1)
+    c = spell.Corrector(rare)
+    clean = {r.query_id: r.cleaned for r in queries.questions(spark, str(tmp_path)).select("query_id", queries.X.clean_query(F.col("query_text")).alias("cleaned")).collect()}
+    want = {q: t if q == "q00004" else c.correct(t) for q, t in clean.items()}
+    out = queries.queries()["spell_correct"](spark, str(tmp_path)).collect()
+    assert {r.query_id: r.corrected for r in out} == want and len(out) == len(asked)
+    many = spark.createDataFrame([(f"w{i}", 2) for i in range(100_001)] + [("defensas", 1)], "word string, count long")
+    q = spark.createDataFrame([(1, "defensas"), (2, None)], "id int, t string")
+    assert {r.id: r.t for r in spell.correct_texts(q, "t", many).collect()} == {1: "defensas", 2: None}
+
+
 # ---- vectors
 
 
