@@ -186,7 +186,7 @@ def oracle_sql() -> dict[str, str]:
         "chunk_overlap_two": f"WITH RECURSIVE {chunk_cte(60, 2)} SELECT doc_id::VARCHAR AS doc_id, count(*) AS n_chunks, sum({tokens_est('texto')})::BIGINT AS tokens FROM chunk GROUP BY 1",
         "chunk_token_estimate": f"SELECT doc_id, {tokens_est('text')}::INTEGER AS num_tokens FROM documents",
         "chunk_fanout": f"WITH RECURSIVE {chunk_cte()} SELECT encoder, count(*) AS n_chunks, sum({tokens_est('texto')})::BIGINT AS tokens FROM chunk, (VALUES ('bge-m3'), ('e5-large')) e(encoder) GROUP BY 1",
-        "l2_normalized": "SELECT vec_id, list_transform(v, lambda x: round(CASE WHEN n > 0 THEN x / n ELSE x END, 6)) AS unit FROM (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (label % 3)) AS v FROM embeddings))",
+        "l2_normalized": "SELECT vec_id, list_transform(list_transform(v, lambda x: round(CASE WHEN n > 0 THEN x / n ELSE x END, 6)), lambda x: CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE x END) AS unit FROM (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (label % 3)) AS v FROM embeddings))",
         "knn_flat_topk": f"WITH {FLAT}, s AS (SELECT q.vec_id AS query_id, d.vec_id AS item_id, round(list_inner_product(q.v, d.v) / (q.n * d.n), 9) AS score FROM en q, en d WHERE q.vec_id % 20 = 0) SELECT query_id, item_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id))::INTEGER AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 50",
         "knn_l2_topk": f"WITH {FLAT}, s AS (SELECT q.vec_id AS query_id, d.vec_id AS item_id, round(1 / (1 + list_inner_product(list_transform(list_zip(q.v, d.v), lambda p: p[1] - p[2]), list_transform(list_zip(q.v, d.v), lambda p: p[1] - p[2]))), 9) AS score FROM en q, en d WHERE q.vec_id % 20 = 0) SELECT query_id, item_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id))::INTEGER AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10",
         "l2_scores": "SELECT vec_id, round(1 / (1 + list_inner_product(list_transform(embedding, lambda x: x::DOUBLE - 0.5), list_transform(embedding, lambda x: x::DOUBLE - 0.5))), 9) AS score FROM embeddings",

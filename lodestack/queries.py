@@ -249,7 +249,9 @@ def split(v: DataFrame) -> tuple[DataFrame, DataFrame]:
 def l2_normalized(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     doubled = F.transform("embedding", lambda x: x.cast("double") * (F.col("label") % 3))
-    return e.select("vec_id", F.transform(l2_normalize(doubled), lambda x: F.round(x, 6)).alias("unit"))
+    rounded = F.transform(l2_normalize(doubled), lambda x: F.round(x, 6))
+    # zeros without a sign, on both sides
+    return e.select("vec_id", F.transform(rounded, lambda x: F.when(x == 0, 0.0).otherwise(x)).alias("unit"))
 
 
 @query

@@ -1,6 +1,9 @@
 """The entry point: every query runs on the smallest tables, and what has SQL equals it."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -11,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables n
 
 def plain(v):
     if isinstance(v, float):
-        return repr(round(v, 9) + 0.0)
+        return repr(round(v, 9))  # keeps the sign of zero
     if isinstance(v, (list, tuple)):
         return str([plain(x) for x in v])
     return str(v)
@@ -45,3 +48,24 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_plain_keeps_the_sign_of_zero():
+    assert plain([-0.0]) != plain([0.0])
+
+
+def test_entry_without_training_data_subpackage(tmp_path):
+    """A copy without the subpackage, its tests and the pipeline, and one that keeps the pipeline."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    ask = "import __spark_entry__ as e; from lodestack import queries as c; assert set(e.queries()) == set(c.queries()); assert set(e.oracle_sql()) == set(c.oracle_sql()); print(len(e.queries()))"
+    for i, gone in enumerate((("lodestack/llm", "tests/llm", "corpus_pipeline.py"), ("lodestack/llm", "tests/llm"))):
+        copy = tmp_path / str(i)
+        shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+        for name in gone:
+            path = copy / name
+            if path.is_dir():
+                shutil.rmtree(path)
+            elif path.exists():
+                path.unlink()
+        env = os.environ | {"PYTHONPATH": ""}
+        assert int(subprocess.run([sys.executable, "-c", ask], cwd=copy, env=env, check=True, capture_output=True, text=True).stdout) >= 58
