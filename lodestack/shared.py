@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
@@ -34,16 +36,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write(writer: DataFrameWriter, spark: SparkSession, path: str) -> None:
-    """Write a table as Parquet; the shuffles behind it are not needed after that."""
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Executions inside are not followed by others that need their shuffles."""
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        writer.parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
 
 
+def write(writer: DataFrameWriter, spark: SparkSession, path: str) -> None:
+    """Write a table as Parquet; the shuffles behind it are not needed after that."""
+    with shuffles_removed(spark):
+        writer.parquet(path)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here,
     and a lost executor costs a re-read, not a recomputation."""
