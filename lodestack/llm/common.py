@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut, discard, new_path, shared_dir, write
+from ..shared import cut, discard, new_path, shared_dir, shuffles_removed, write
 
-__all__ = ["cut", "discard", "new_path", "shared_dir", "write"]
+__all__ = ["cut", "discard", "new_path", "shared_dir", "shuffles_removed", "write"]
 
 #: Bytes of an Arrow batch on its way to Python (a longer row goes alone).
 BATCH_BYTES = 1 << 20
