@@ -2,15 +2,21 @@
 
 High-recall generators propose overlapping spans: the four base patterns and looser forms of
 them. Boosted trees over format and context features, written out as SQL expressions, score the
-looser ones; thresholds calibrated per kind select which are added to the base spans. Positions
-come from the lengths of what lies between matches, summed in windows over short rows; the text
-itself is scanned once and never shuffled.
+looser ones; thresholds calibrated per kind select which are added to the base spans. Labels are
+those of generated sentences: personal data of a kind in its many forms, and the numbers that
+look like it (versions, sections, orders, parts, prices), in contexts that tell and that do not.
+A third of the sentences is kept from the trees and calibrates the thresholds. No label is
+computed from a feature, and the corpus has no part in the model.
+
+Positions come from the lengths of what lies between matches, summed in windows over short rows.
+A text is scanned once; :func:`report` never moves it, :func:`redact` moves those that have a
+candidate, once, to their spans.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import gbt
@@ -38,12 +44,14 @@ LOOSE_PHONE = r"(?<![0-9])\(?[0-9]{3}+\)?[ .-]{1,2}+[0-9]{3}+[ .-][0-9]{4}+"
 FOUR_DIGITS = r"(?:[0-9][^0-9]*+){4}"
 #: Characters of context kept before and after a match.
 BEFORE, AFTER = 32, 8
-#: Words that announce a kind.
-CONTEXT = {EMAIL: "mail|contact|write", IP: "ip|host|server|address", CARD: "card|visa|credit|cc|payment", PHONE: "tel|phone|call|fax|mobile"}
-FEATURES = ("kind", "n_digits", "n_length", "n_seps", "n_distinct", "luhn", "parts", "paren", "before_alnum", "after_alnum", "context")
-#: Bound on the candidates that the trees are fitted on (a hash sample), shape of the trees,
-#: and precision that a kind's threshold must reach among them.
-TRAIN_ROWS, TREES, DEPTH, PRECISION = 40_000, 24, 3, 0.98
+#: Words that announce a kind, words that announce something else, words that follow a quantity.
+CONTEXT = {EMAIL: "e-?mail|mail|contact|write|reach", IP: "ip|host|server|address|gateway|ping", CARD: "card|visa|credit|cc|payment|charged?", PHONE: "tel|phone|call|fax|mobile|ring|dial"}
+OTHER = "version|release|build|section|chapter|figure|rule|order|invoice|serial|tracking|isbn|ticket|part|item|sku|lot|code|ref|sold|price|arrive|look|meet|open|page"
+COUNTED = "units|items|pcs|rows|kg|km|pages|each"
+FEATURES = ("kind", "n_digits", "n_length", "n_seps", "n_distinct", "luhn", "parts", "paren", "before_alnum", "after_alnum", "context", "other", "counted")
+#: Sentences generated, shape of the trees, precision that a kind's threshold must reach among
+#: the sentences kept for it (one of KEPT), and how many selected ones must show it.
+EXAMPLES, TREES, DEPTH, PRECISION, KEPT, SHOWN = 6000, 32, 4, 0.98, 3, 20
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -74,9 +82,13 @@ def _placed(df: DataFrame, keys: list[str], found: str) -> DataFrame:
     return rows.withColumn("start", F.sum(F.col("gap") + F.length("m")).over(so_far) - F.length("m"))
 
 
-def _luhn(digits: Column) -> Column:
+def _luhn_sum(digits: Column) -> Column:
     each = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)))
-    return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10 == 0
+    return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10
+
+
+def _luhn(digits: Column) -> Column:
+    return _luhn_sum(digits) == 0
 
 
 def candidates(scanned: DataFrame) -> DataFrame:
@@ -123,26 +135,85 @@ def candidates(scanned: DataFrame) -> DataFrame:
         F.col("before").rlike(r"[\p{L}\p{N}]$").cast("int").alias("before_alnum"),
         F.col("after").rlike(r"^[\p{L}\p{N}]").cast("int").alias("after_alnum"),
         context.cast("int").alias("context"),
+        F.lower("before").rlike(rf"\b(?:{OTHER})").cast("int").alias("other"),
+        F.lower("after").rlike(rf"^ ?(?:{COUNTED})").cast("int").alias("counted"),
     )
 
 
-def fit(found: DataFrame, max_rows: int = TRAIN_ROWS) -> tuple[gbt.Trees, list[float]]:
-    """Trees that tell valid, free-standing spans among the base patterns' matches from the
-    others, and each kind's threshold (above 1: nothing of the kind is added)."""
-    some = found.where("base")
-    n = some.count()
-    if n > max_rows:
-        some = some.where(F.pmod(F.xxhash64("rid", "start"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
-    label = (F.col("valid") & (F.col("before_alnum") == 0) & (F.col("after_alnum") == 0)).cast("int").alias("y")
-    rows = some.groupBy(*FEATURES, label).count().orderBy(*FEATURES, "y").collect()
+def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
+    """``n`` sentences: ``rid``, ``text``, the ``planted`` kind that it has something like, ``y``
+    (1: personal data) and ``kept`` (for the thresholds). Nothing in them is random between runs."""
+
+    def lot(salt: int, size: int) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(size))
+
+    def pick(salt: int, values: list) -> Column:
+        return F.element_at(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), (lot(salt, len(values)) + 1).cast("int"))
+
+    def digits(salt: int, size: int) -> Column:
+        return F.lpad(lot(salt, 10**size).cast("string"), size, "0")
+
+    def joined(gap: Column | str, parts: list[Column]) -> Column:
+        gap = F.lit(gap) if isinstance(gap, str) else gap
+        return F.concat(*[x for p in parts for x in (gap, p)][1:])
+
+    name = F.concat(pick(1, ["ana", "jo.smith", "lee_k", "m-ruiz", "info", "team7"]), pick(2, ["", "", "3", "84"]))
+    host = pick(3, ["mail", "post-box", "acme", "uni", "north"])
+    end = pick(4, ["com", "org", "net", "de"])
+    mail = pick(5, [F.concat(name, F.lit(a), host, F.lit(d), end) for a, d in (("(at)", "(dot)"), (" [at] ", "."), ("[AT]", "[DOT]"), (" (at) ", " (dot) "))])
+    thing = pick(6, ["sold", "price", "lamps", "arrive", "page", "meet"])
+    place = pick(7, ["cost", "noon", "gate", "dawn", "two"])
+    no_mail = pick(8, [F.concat(thing, F.lit(" (at) "), place, F.lit("."), pick(9, ["two", "5", "plus", "late"])), F.concat(thing, F.lit(" [at] "), place, F.lit(" (dot) "), pick(10, ["next", "10", "off"]))])
+
+    def quad(salt: int, least: int, size: int) -> Column:
+        return joined(pick(salt + 9, [" . ", ". ", "."]), [(lot(salt + k, size) + least).cast("string") for k in range(4)])
+
+    address, outline = quad(20, 1, 255), pick(40, [quad(41, 0, 12), quad(61, 1, 60), quad(81, 1, 255)])
+    most = F.concat(pick(100, ["4", "51", "37", "6011"]), digits(101, 15))
+    most = F.substring(most, 1, 15)
+    number = F.concat(most, F.pmod(10 - _luhn_sum(F.concat(most, F.lit("0"))), F.lit(10)).cast("string"))
+    card = joined(pick(102, [".", "  ", ". ", "-"]), [F.substring(number, 4 * k + 1, 4) for k in range(4)])
+    a, b, c = (lot(110, 700) + 200).cast("string"), digits(111, 3), digits(112, 4)
+    phone = pick(113, [F.concat(F.lit("("), a, F.lit(") "), b, F.lit("-"), c), joined(".", [a, b, c]), joined("-", [a, b, c]), joined(" ", [a, b, c])])
+
+    kind, y = lot(120, 4), lot(121, 2)
+    body = F.when(kind == EMAIL, F.when(y == 1, mail).otherwise(no_mail)).when(kind == IP, F.when(y == 1, address).otherwise(outline)).when(kind == CARD, card).otherwise(phone)
+
+    def of_kind(words: dict[int, list[str]], salt: int) -> Column:
+        out = F.lit("")
+        for k, some in words.items():
+            out = F.when(kind == k, pick(salt + k, some)).otherwise(out)
+        return out
+
+    announced = of_kind({EMAIL: ["mail", "contact", "write to", "reach me,"], IP: ["host", "server", "the ip is", "ping", "gateway"], CARD: ["card", "visa", "credit", "payment by", "charged to"], PHONE: ["call", "tel", "phone", "fax:", "mobile"]}, 130)
+    other = of_kind({EMAIL: ["sold", "price", "arrive", "look", "open"], IP: ["version", "release", "section", "build", "rule"], CARD: ["order", "invoice", "serial", "tracking", "ref"], PHONE: ["part", "item", "sku", "lot", "code"]}, 140)
+    plain = pick(150, ["and", "so", "the", "it was", "das ist", "y la", "then"])
+    told = pick(151, [1, 1, 1, 0])  # three of four sentences say what it is
+    # a number of a card's or a phone's form that nothing announces is personal
+    before = F.when((y == 1) & (told == 1), announced).when(y == 1, plain).when((told == 1) | (kind >= CARD), other).otherwise(plain)
+    after = F.when(y == 1, pick(152, ["", ".", " now", ", thanks", " today"])).otherwise(pick(153, ["", ".", " units", " items", " each", " now"]))
+    lead = pick(154, ["", "well, ", "In the end ", "hier: "])
+    text = F.concat(lead, before, F.lit(" "), body, after)
+    return spark.range(n).select(F.col("id").alias("rid"), text.alias("text"), kind.cast("int").alias("planted"), y.cast("int").alias("y"), (lot(160, KEPT) == 0).alias("kept"))
+
+
+def fit(spark: SparkSession, n: int = EXAMPLES) -> tuple[gbt.Trees, list[float]]:
+    """Trees that tell personal data among the looser spans of generated sentences, and each
+    kind's threshold (above 1: nothing of the kind is added)."""
+    some = examples(spark, n)
+    found = candidates(some.select("rid", *_scan(F.col("text")))).where("NOT base")
+    rows = found.join(some.drop("text"), "rid").withColumn("y", F.when(F.col("kind") == F.col("planted"), F.col("y")).otherwise(0))
+    rows = rows.groupBy(*FEATURES, "y", "kept").count().orderBy(*FEATURES, "y", "kept").collect()
     x = np.array([[r[f] for f in FEATURES] for r in rows], np.float64).reshape(-1, len(FEATURES))
-    y, w = np.array([r["y"] for r in rows], np.float64), np.array([r["count"] for r in rows], np.float64)
-    trees = gbt.fit(x, y, w, trees=TREES, depth=DEPTH, rate=0.3)
+    y, w, kept = (np.array([r[c] for r in rows], np.float64) for c in ("y", "count", "kept"))
+    learn = kept == 0
+    trees = gbt.fit(x[learn], y[learn], w[learn], trees=TREES, depth=DEPTH, rate=0.3)
     p = trees.probability(x) if len(x) else np.empty(0)
     thresholds = []
     for k in range(len(KINDS)):
-        mine = x[:, 0] == k
-        good = [t for t in np.unique(p[mine & (y == 1)]) if t >= 0.5 and (w * y)[mine & (p >= t)].sum() >= PRECISION * w[mine & (p >= t)].sum()]
+        mine = (x[:, 0] == k) & (kept == 1)
+        chosen = [(t, w[mine & (p >= t)].sum(), (w * y)[mine & (p >= t)].sum()) for t in np.unique(p[mine]) if t >= 0.5]
+        good = [t for t, every, right in chosen if every >= SHOWN and right >= PRECISION * every]
         thresholds.append(float(good[0]) if good else 2.0)
     return trees, thresholds
 
@@ -186,7 +257,7 @@ def find(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) ->
     some = (F.size("emails") > 0) | (F.size("loose_emails") > 0) | F.exists("islands", lambda x: x["m"].rlike(FOUR_DIGITS))
     t = cut(t.withColumn("some", some), "scanned")
     found = cut(candidates(t.where("some")), "candidates")
-    chosen = select(found, *fit(found))
+    chosen = select(found, *fit(docs.sparkSession))
     spans = chosen.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "base", "score"))).alias("spans"))
     names = [f"keep_{c}" for c in keep]
     none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,base:boolean,score:double>>")
@@ -199,8 +270,10 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     ``base_sha256`` and ``spans`` (kind:start:end, comma-joined).
 
     A null text counts as empty; a null id is kept; repeated rows each get a row; an empty
-    table gives an empty result and fits no trees; other columns are ignored. Equal spans of
-    different kinds are all listed.
+    table gives an empty result; other columns, whatever their names, are ignored. Equal spans of
+    different kinds are all listed; of looser spans that overlap, the first one stays (ties:
+    the shorter, then the kind in the order listed). Whole texts of any length, scanned in
+    linear time.
     """
     names = F.array(*[F.lit(k) for k in KINDS])
 

@@ -207,6 +207,25 @@ def test_pii_redacts_and_adds_looser_spans(spark):
     assert pii.redact(df).columns == df.columns
 
 
+def test_pii_context_decides_between_equal_formats(spark):
+    pairs = [("host 10 . 20 . 130 . 40 now", "version 10 . 20 . 130 . 40 now"), ("card 4111.1111.1111.1111", "order 4111.1111.1111.1111"), ("call 415-555-0132, thanks", "part 415-555-0132 units"), ("write to jo(at)acme(dot)net", "lamps sold (at) cost.plus items")]
+    found = {x.doc_id: x.spans for x in pii.report(frame(spark, [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)])).collect()}
+    assert [found[2 * i].split(":")[0] for i in range(4)] == ["ip", "card", "phone", "email"]
+    assert not any(found[2 * i + 1] for i in range(4))
+
+
+def test_pii_labels_are_not_the_check_of_the_kind(spark):
+    some = pii.examples(spark, 1200)
+    found = pii.candidates(some.select("rid", *pii._scan(some["text"]))).where("NOT base").join(some.select("rid", "planted", "y", "kept"), "rid").where("kind = planted").collect()
+    assert {k for k in range(4)} == {x.kind for x in found}
+    assert {(x.valid, x.y) for x in found} >= {(True, 1), (True, 0)}
+    trees, thresholds = pii.fit(spark)
+    x = np.array([[r[f] for f in pii.FEATURES] for r in found], float)
+    chosen = trees.probability(x) >= np.array(thresholds)[x[:, 0].astype(int)]
+    y = np.array([r.y for r in found])
+    assert y[chosen].mean() > 0.97 and chosen[y == 1].mean() > 0.5 and {"context", "other"} <= {pii.FEATURES[f] for f in trees.feature[trees.left != np.arange(len(trees.left))]}
+
+
 # ---- quality
 
 
