@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import cut, discard, new_path, shared_dir, shuffles_removed, write
@@ -35,3 +35,11 @@ def word_count(c: Column) -> Column:
 def fold_bucket(modulus: int, id_col: str = "doc_id") -> Column:
     """crc32 of the id's decimal text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % modulus
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores until no column has it (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -1,13 +1,15 @@
 """Language identification: word-first backoff.
 
 A known word is scored by its log frequency in each language; an unseen word falls back to
-character n-grams of its padded form, the longest length with a known n-gram first.
+character n-grams of its padded form, the longest length with a known n-gram first. Words and
+n-grams are counted in Spark over all words of the documents that the model is fitted on.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -16,12 +18,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fold_bucket
+from .common import bound_batches, cut, discard, fold_bucket, free_name
 
-WORDS = re.compile(r"[^\W\d_]+")
-#: Bounds of the model: labelled documents it is fitted on (a hash sample, whole texts),
-#: words kept (most frequent first), n-gram lengths, n-grams kept per length.
-TRAIN_DOCS, MODEL_WORDS, LENGTHS, MODEL_GRAMS = 20_000, 60_000, (5, 4, 3, 2, 1), 60_000
+
+def _not_letters() -> str:
+    """Ranges of the code points that ``\\w`` matches beside letters, digits and the underscore."""
+    at = [c for c in range(sys.maxunicode + 1) if (x := chr(c)).isalnum() and not x.isalpha() and not x.isdecimal()]
+    edges = [i for i in range(len(at)) if not i or at[i] != at[i - 1] + 1] + [len(at)]
+    return "".join(f"\\U{at[a]:08x}-\\U{at[b - 1]:08x}" for a, b in zip(edges, edges[1:], strict=False))
+
+
+#: Runs of letters.
+WORDS = re.compile(rf"[^\W\d_{_not_letters()}]+")
+#: Bound of the model: labelled documents it is fitted on (a hash sample, whole texts). Lengths
+#: of n-grams.
+TRAIN_DOCS, LENGTHS = 20_000, (5, 4, 3, 2, 1)
 #: Words whose fallback score a worker remembers.
 MEMO = 100_000
 UNKNOWN = "und"
@@ -30,30 +41,26 @@ UNKNOWN = "und"
 class WordFirstModel:
     """Score vectors over the languages for words and n-grams."""
 
-    def __init__(self, counts: dict[str, dict[str, int]]):
-        """``counts``: word -> language -> occurrences."""
-        self.langs = sorted({lang for by in counts.values() for lang in by})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        words = sorted(counts)
-        table = np.zeros((len(words), len(self.langs)))
-        for i, w in enumerate(words):
-            for lang, c in counts[w].items():
-                table[i, at[lang]] = c
-        self.words = {w: i for i, w in enumerate(words)}
-        self.word_scores = self._log(table)
-        self.grams: dict[int, dict[str, int]] = {}
-        self.gram_scores: dict[int, np.ndarray] = {}
-        for n in LENGTHS:
-            grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(self.langs)))
-            for w, row in zip(words, table, strict=True):
-                for g in self.split(w, n):
-                    grams[g] += row
-            kept = sorted(grams, key=lambda g: (-grams[g].sum(), g))[:MODEL_GRAMS]
-            self.gram_scores[n] = self._log(np.array([grams[g] for g in kept]).reshape(len(kept), len(self.langs)))
-            self.grams[n] = {g: i for i, g in enumerate(kept)}
+    def __init__(self, langs: list[str], words: tuple[pa.Array, np.ndarray], grams: dict[int, tuple[pa.Array, np.ndarray]]):
+        """``words`` and, by length, ``grams``: each with its occurrences by language."""
+        self.langs = langs
+        self.tables = {0: words, **grams}
+        self.scores = {n: self._log(table) for n, (_, table) in self.tables.items()}
+        self._index()
+
+    def _index(self) -> None:
+        self.find = {n: {w: i for i, w in enumerate(names.to_pylist())} for n, (names, _) in self.tables.items()}
         self.memo: dict[str, int] = {}
         self.memo_scores = np.zeros((0, len(self.langs)))
 
+    def __getstate__(self):
+        return self.langs, {n: names for n, (names, _) in self.tables.items()}, self.scores
+
+    def __setstate__(self, state):
+        self.langs, names, self.scores = state
+        self.tables = {n: (x, None) for n, x in names.items()}
+        self._index()
+
     @staticmethod
     def _log(table: np.ndarray) -> np.ndarray:
         """Smoothed log frequency within each language, relative to the languages' mean."""
@@ -72,10 +79,10 @@ class WordFirstModel:
         if at is None:
             got = np.zeros(len(self.langs))
             for n in LENGTHS:
-                find = self.grams[n]
+                find = self.find[n]
                 known = [find[g] for g in self.split(word, n) if g in find]
                 if known:
-                    got = self.gram_scores[n][known].mean(0)
+                    got = self.scores[n][known].mean(0)
                     break
             if not len(self.memo_scores):
                 self.memo_scores = np.zeros((MEMO, len(self.langs)))
@@ -89,9 +96,9 @@ class WordFirstModel:
         words = WORDS.findall(text.lower()) if text else []
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        known = list(map(self.words.get, words))
+        known = list(map(self.find[0].get, words))
         at = np.array([i for i in known if i is not None], np.int64)
-        total = np.bincount(at, minlength=len(self.words)) @ self.word_scores if len(at) > 4 * len(self.words) else self.word_scores[at].sum(0)
+        total = self.scores[0][at].sum(0)
         if len(at) < len(words):
             for w, n in Counter(w for w, i in zip(words, known, strict=True) if i is None).items():
                 total = total + n * self.unseen(w)
@@ -117,18 +124,36 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def fit(docs: DataFrame, train: Column, max_docs: int = TRAIN_DOCS, max_words: int = MODEL_WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> WordFirstModel:
+def grams(word: Column, n: int) -> Column:
+    """All n-grams of the padded word; the bare pads do not count."""
+    padded = F.concat(F.lit("<"), word, F.lit(">"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1)))
+    each = F.transform(starts, lambda i: F.substr(padded, i, F.lit(n)))
+    return F.filter(each, lambda g: (F.length(g) == n) & ~g.isin("<", ">"))
+
+
+def fit(docs: DataFrame, train: Column, max_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> WordFirstModel:
     """Learn from at most about ``max_docs`` of the labelled rows for which ``train`` holds,
-    chosen by a hash of the id; the model holds at most ``max_words`` words."""
+    chosen by a hash of the id. The model holds all their words and n-grams."""
     bound_batches(docs.sparkSession)
     some = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = some.count()
     if n > max_docs:
         some = some.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1 << 30)) < int((1 << 30) * max_docs / n))
     words = some.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(_count_words, "lang string, word string, n long")
-    words = words.groupBy("word", "lang").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    rows = words.orderBy(F.desc("total"), "word").limit(max_words).collect()
-    return WordFirstModel({r["word"]: r["by"] for r in rows})
+    words = cut(words.groupBy("word", "lang").agg(F.sum("n").alias("n")), "words")
+    langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+
+    def table(rows: DataFrame) -> tuple[pa.Array, np.ndarray]:
+        sums = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+        got = rows.groupBy("word").agg(F.lit(0).alias("z"), *sums).toArrow().combine_chunks().sort_by("word")
+        names = got.column("word").combine_chunks()
+        counts = [got.column(f"n{i}").to_numpy() for i in range(len(langs))]
+        return names, np.array(counts, np.float64).T.reshape(len(names), len(langs))
+
+    model = WordFirstModel(langs, table(words), {k: table(words.select("lang", "n", F.explode(grams(F.col("word"), k)).alias("word"))) for k in LENGTHS})
+    discard(words)
+    return model
 
 
 def predict(docs: DataFrame, model: WordFirstModel, text_col: str = "text") -> DataFrame:
@@ -141,17 +166,19 @@ def predict(docs: DataFrame, model: WordFirstModel, text_col: str = "text") -> D
         got = [shared.value.predict(x.as_py()) for x in texts]
         return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang_pred", "score"])
 
-    out = docs.withColumn("__lang", of(F.col(text_col).cast("string")))
-    return out.withColumn("lang_pred", F.col("__lang.lang_pred")).withColumn("score", F.col("__lang.score")).drop("__lang")
+    found = free_name(docs, "found")
+    out = docs.withColumn(found, of(F.col(text_col).cast("string")))
+    return out.withColumn("lang_pred", F.col(found)["lang_pred"]).withColumn("score", F.col(found)["score"]).drop(found)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: id, ``held_out``, ``lang_pred``, ``score``.
 
     Learns from rows whose crc32(id as text) mod 4 is not 2. A null id counts as the empty
-    text; a null text or one without a letter is ``und`` with score 0, as is everything when
-    no labelled row exists; repeated rows each get a row; other columns are ignored; ties
-    between languages go to the first in code-point order.
+    text; a null text or one without a letter (numerals such as \u00b2 or \u2163 are none) is ``und`` with
+    score 0, as is everything when no labelled row exists; repeated rows each get a row; an empty
+    table gives an empty result; other columns, whatever their names, are ignored; ties between
+    languages go to the first in code-point order. Whole texts, of any length.
     """
     held = fold_bucket(4, id_col) == 2
     model = fit(docs, ~held, id_col=id_col, text_col=text_col, lang_col=lang_col)

@@ -5,11 +5,12 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodestack.llm import bpe, gbt, langid, lm, media, pii, quality, simhash
 
@@ -38,6 +39,71 @@ def test_langid_learns_and_falls_back(spark):
     assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 4 == 2) and 0 <= x.score <= 1 for x in got.values())
 
 
+def letter_runs(text):
+    return [w for w in "".join(c if c.isalpha() else " " for c in text).split(" ") if w]
+
+
+def plain_langid(data):
+    """(lang, score) of every text, from plain counts."""
+    counts = [defaultdict(Counter) for _ in range(6)]  # words, then n-grams by length
+    for i, text, lang in data:
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            for w in letter_runs(text.lower()):
+                counts[0][w][lang] += 1
+                padded = f"<{w}>"
+                for n in range(1, 6):
+                    for a in range(len(padded) - n + 1):
+                        if padded[a : a + n] not in "<>":
+                            counts[n][padded[a : a + n]][lang] += 1
+    langs = sorted({lang for c in counts[0].values() for lang in c})
+
+    def logs(table, key):
+        out = [math.log((table[key][g] + 0.5) / (sum(c[g] for c in table.values()) + 0.5 * len(table))) for g in langs]
+        return [x - sum(out) / len(out) for x in out]
+
+    for _, text, _ in data:
+        words = letter_runs((text or "").lower())
+        total = [0.0] * len(langs)
+        for w in words:
+            if w in counts[0]:
+                got = [logs(counts[0], w)]
+            else:
+                got = []
+                for n in range(5, 0, -1):
+                    padded = f"<{w}>"
+                    got = [logs(counts[n], g) for a in range(len(padded) - n + 1) if (g := padded[a : a + n]) not in "<>" and g in counts[n]]
+                    if got:
+                        break
+            for g in got:
+                total = [t + x / len(got) for t, x in zip(total, g, strict=True)]
+        if not words:
+            yield "und", 0.0
+            continue
+        total = [t / math.sqrt(len(words)) for t in total]
+        yield langs[total.index(max(total))], 1 / sum(math.exp(t - max(total)) for t in total)
+
+
+def test_langid_against_brute_force(spark):
+    r = random.Random(5)
+    sounds = {"de": ["sch", "ei", "en", "ü", "t"], "fr": ["é", "eau", "x", "en", "t"], "xx": ["q", "w", "en", "kk"]}
+    data = []
+    for i in range(80):
+        lang = r.choice(list(sounds))
+        data.append((i, " ".join("".join(r.choices(sounds[lang], k=r.randint(1, 4))) for _ in range(r.randint(1, 9))), r.choice([lang, lang, None])))
+    data += [(100, "zzz schx 12ei² T", None), (101, "² ½ Ⅳ ①", "de"), (102, "3x², x", None)]
+    rows = langid.identify(frame(spark, data)).collect()
+    want = {d[0]: w for d, w in zip(data, plain_langid(data), strict=True)}
+    assert want[101][0] == "und"
+    for x in rows:
+        assert x.lang_pred == want[x.doc_id][0] and abs(x.score - want[x.doc_id][1]) < 1e-9, x
+
+
+def test_langid_knows_every_word_of_its_documents(spark):
+    data = [(i, " ".join(f"{chr(97 + i % 26)}{''.join(chr(97 + int(c)) for c in str(i * 997 + k))}" for k in range(60)), ["en", "es"][i % 2]) for i in range(400)]
+    model = langid.fit(frame(spark, data), F.lit(True))
+    assert set(model.find[0]) == {w for _, text, _ in data for w in text.split()}
+
+
 def test_langid_edges(spark):
     assert langid.identify(frame(spark, EDGE)).count() == len(EDGE)  # no labels at all
     assert {x.lang_pred for x in langid.identify(frame(spark, EDGE)).collect()} == {"und"}
