@@ -37,7 +37,8 @@ ARCHIVE_BYTES, ARCHIVE_MEMBERS = 128 << 20, 50_000
 #: Bytes of a range, bytes of a batch, tries for a member, seconds before another try.
 RANGE_BYTES, BATCH_BYTES, TRIES, PAUSE = 16 << 20, 4 << 20, 3, 0.2
 FORMAT = "lodestack_archive"
-MANIFEST = "_members.json"
+#: What a manifest's name starts with; one a job.
+MANIFEST = "_members-"
 
 
 # ---- payloads and images
@@ -118,10 +119,13 @@ class Written(WriterCommitMessage):
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """Each task writes archives of its own; only those of committed tasks enter the manifest."""
+    """Each task writes archives of its own; only those of committed tasks enter the job's
+    manifest. The table is what all manifests list: a job adds its own, and where it overwrites,
+    the ones before go with their archives. Archives of a job that none of its manifest lists (of
+    attempts that failed) are deleted at its end."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = _open(self.path)
@@ -140,7 +144,7 @@ class ArchiveWriter(DataSourceArrowWriter):
                 if zf is None or members >= ARCHIVE_MEMBERS or sink.tell() >= ARCHIVE_BYTES:
                     if zf is not None:
                         close()
-                    name, members = f"part-{uuid.uuid4().hex}.zip", 0
+                    name, members = f"part-{self.job}-{uuid.uuid4().hex}.zip", 0
                     sink = fs.open_output_stream(f"{root}/{name}")
                     zf = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED)
                 info = zipfile.ZipInfo(f"{key.as_py() if key.is_valid else 'null'}/{members}.png")
@@ -153,15 +157,34 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = _open(self.path)
         fs.create_dir(root, recursive=True)
+        before = manifests(fs, root) if self.overwrite else {}
         found = sorted(a for m in messages if m for a in m.archives)
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
+        with fs.open_output_stream(f"{root}/{MANIFEST}{self.job}.json") as f:
             f.write(json.dumps(found).encode())
+        for name, archives in before.items():
+            fs.delete_file(f"{root}/{name}")
+            for archive, _ in archives:
+                fs.delete_file(f"{root}/{archive}")
+        self._clear(fs, root, {name for name, _ in found})
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = _open(self.path)
-        for m in messages:
-            for name, _ in m.archives if m else []:
-                fs.delete_file(f"{root}/{name}")
+        self._clear(fs, root, set())
+
+    def _clear(self, fs: pafs.FileSystem, root: str, but: set[str]) -> None:
+        for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if info.base_name.startswith(f"part-{self.job}-") and info.base_name not in but:
+                fs.delete_file(f"{root}/{info.base_name}")
+
+
+def manifests(fs: pafs.FileSystem, root: str) -> dict[str, list[tuple[str, int]]]:
+    """Archives and their sizes by manifest."""
+    out = {}
+    for info in fs.get_file_info(pafs.FileSelector(root)):
+        if info.base_name.startswith(MANIFEST):
+            with fs.open_input_stream(f"{root}/{info.base_name}") as f:
+                out[info.base_name] = json.loads(f.read())
+    return out
 
 
 class Members:
@@ -219,8 +242,7 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         fs, root = _open(self.path)
-        with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-            found = json.loads(f.read())
+        found = sorted(a for archives in manifests(fs, root).values() for a in archives)
         return [Range(f"{self.path}/{name}", a, min(a + self.range_bytes, size)) for name, size in found for a in range(0, size, self.range_bytes)] or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
@@ -263,14 +285,15 @@ class ArchiveSource(DataSource):
         return ArchiveReader(self.options["path"].rstrip("/"), int(self.options.get("range_bytes", RANGE_BYTES)))
 
     def writer(self, schema: StructType, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options["path"].rstrip("/"))
+        return ArchiveWriter(self.options["path"].rstrip("/"), overwrite)
 
 
 # ---- the operator
 
 
-def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write every row's payload as an image into archives under ``path``."""
+def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", mode: str = "append") -> None:
+    """Write every row's payload as an image into archives under ``path``; ``mode`` append keeps
+    what is there, overwrite replaces it."""
 
     @F.arrow_udf("binary")
     def image(texts: pa.Array) -> pa.Array:
@@ -278,7 +301,7 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     bound_batches(docs.sparkSession)
     docs.sparkSession.dataSource.register(ArchiveSource)
-    docs.select(F.col(id_col).cast("long").alias("id"), image(F.col(text_col).cast("string")).alias("media")).write.format(FORMAT).mode("append").save(path)
+    docs.select(F.col(id_col).cast("long").alias("id"), image(F.col(text_col).cast("string")).alias("media")).write.format(FORMAT).mode(mode).save(path)
 
 
 def load(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:

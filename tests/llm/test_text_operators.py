@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -374,6 +375,58 @@ def test_media_round_trip(spark, tmp_path):
     assert media.round_trip(frame(spark, EDGE).limit(0), str(tmp_path / "b")).count() == 0
 
 
+def test_media_appends_and_overwrites(spark, tmp_path):
+    path = str(tmp_path / "t")
+
+    def ids():
+        return sorted(x.id for x in media.load(spark, path).collect())
+
+    media.store(frame(spark, [(1, "a"), (2, "b")]), path)
+    media.store(frame(spark, [(3, "c")]), path)
+    assert ids() == [1, 2, 3]
+    media.store(frame(spark, [(4, "d")]), path, mode="overwrite")
+    assert ids() == [4] and len(list((tmp_path / "t").glob("part-*.zip"))) == 1
+    media.store(frame(spark, [(5, "e")]), path)
+    assert ids() == [4, 5]
+
+
+def test_media_deletes_archives_of_failed_attempts(tmp_path):
+    writer = media.ArchiveWriter(str(tmp_path))
+    batch = pa.record_batch([pa.array([7]), pa.array([b"x"], pa.binary())], ["id", "media"])
+    kept, lost = writer.write(iter([batch])), writer.write(iter([batch]))
+    other = media.ArchiveWriter(str(tmp_path)).write(iter([batch]))
+    writer.commit([kept, None])
+    names = {p.name for p in tmp_path.glob("part-*")}
+    assert names == {kept.archives[0][0], other.archives[0][0]} and lost.archives[0][0] not in names
+    media.ArchiveWriter(str(tmp_path)).abort([])
+    assert {p.name for p in tmp_path.glob("part-*")} == names
+
+
+def test_media_form_and_feature(spark, tmp_path):
+    """The stored form is a PNG of the payload's samples, the feature is computed from them."""
+    for x in media.round_trip(frame(spark, EDGE[:4]), str(tmp_path / "f")).collect():
+        b = (dict(EDGE[:4])[x.doc_id] or "").encode()
+        p = b + b"\xff" * (max(1, -(-len(b) // 576)) * 576 - len(b))
+        png = media.encode_image(p)
+        rows = np.frombuffer(p, np.uint8).reshape(-1, 576)
+        at, body, found = 8, b"", {}
+        while at < len(png):  # chunks: length, kind, data, checksum
+            n, kind = int.from_bytes(png[at : at + 4], "big"), png[at + 4 : at + 8]
+            found[kind] = found.get(kind, b"") + png[at + 8 : at + 8 + n]
+            assert zlib.crc32(png[at + 4 : at + 8 + n]) == int.from_bytes(png[at + 8 + n : at + 12 + n], "big")
+            at += 12 + n
+        assert (int.from_bytes(found[b"IHDR"][:4], "big"), int.from_bytes(found[b"IHDR"][4:8], "big"), found[b"IHDR"][8:10]) == (576, len(rows), b"\x08\x00")
+        assert x.media_bytes == len(png) and x.media_sha256 == hashlib.sha256(png).hexdigest() and media.decode_image(png).tobytes() == p
+        assert len(zlib.decompress(found[b"IDAT"])) == len(rows) * 577
+        n, mean = len(p), sum(p) / len(p)
+        dev = math.sqrt(sum((v - mean) ** 2 for v in p) / n)
+        entropy = -sum(c / n * math.log2(c / n) for c in Counter(p).values())
+        step = sum(abs(v - u) for u, v in zip(p, p[1:], strict=False)) / (n - 1)
+        got = dict(part.split("=") for part in x.feature.split(";"))
+        assert all(abs(float(got[k]) - v) < 1e-3 for k, v in {"mean": mean, "dev": dev, "entropy": entropy, "step": step}.items())
+        assert [int(h) for h in got["hist"].split(",")] == [sum(v // 32 == i for v in p) * 1000 // n for i in range(8)]
+
+
 def test_media_ranges_cover_every_member_once(spark, tmp_path):
     media.store(frame(spark, [(i, f"text {i} " * 50) for i in range(200)]).coalesce(2), str(tmp_path / "c"))
     got = media.load(spark, str(tmp_path / "c"), range_bytes=3000).collect()
