@@ -53,6 +53,22 @@ def write(writer: DataFrameWriter, spark: SparkSession, path: str) -> None:
         writer.parquet(path)
 
 
+#: Tables cut inside open blocks of :func:`temporary`, innermost last.
+_blocks: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables that :func:`cut` writes inside are deleted at the end; results that read them must
+    have been written by then."""
+    _blocks.append([])
+    try:
+        yield
+    finally:
+        for df in _blocks.pop():
+            discard(df)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here,
     and a lost executor costs a re-read, not a recomputation."""
@@ -61,6 +77,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     write(df.write, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestack_path = path
+    if _blocks:
+        _blocks[-1].append(out)
     return out
 
 
