@@ -157,7 +157,8 @@ def fit(docs: DataFrame, train: Column, max_docs: int = TRAIN_DOCS, id_col: str
 
 
 def predict(docs: DataFrame, model: WordFirstModel, text_col: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` and ``score``. Null text or text without a letter: ``und``, 0."""
+    """Adds ``lang_pred`` and ``score`` (in place of columns of that name). Null text or text
+    without a letter: ``und``, 0."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -75,10 +75,11 @@ def mix(
     """Decide for every row how many words the mix takes of it.
 
     The budget is the number of words in all rows. Returns id, ``size``, ``source_size``,
-    ``target``, ``taken`` (repeats counted) and ``rounds`` (taken copies). Rows are taken whole. Null text: size 0, taken 0. A null source is a source of
-    its own, last in order; a null id is ordinary (ties fall back to key and finish time);
-    repeated rows are separate items; an empty table gives an empty result; other columns are
-    ignored. Reruns agree: nothing depends on row order or partitioning.
+    ``target``, ``taken`` (repeats counted) and ``rounds`` (taken copies). Rows are taken whole.
+    Null text: size 0, taken 0. A null source is a source of its own, last in order; a null id is
+    ordinary (ties fall back to key and finish time); repeated rows are separate items; an empty
+    table gives an empty result; other columns, whatever their names, are ignored; a very long
+    text is one item. Reruns agree: nothing depends on row order or partitioning.
     """
     decided = _decide(docs, weights, max_repeats, seed, id_col, source_col, text_col)
     return decided.select(F.col("id").alias(id_col), "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * F.col("rounds")).cast("long").alias("taken"), "rounds")
@@ -87,23 +88,24 @@ def mix(
 def blend(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mix itself: ``docs``'s rows, each as often as :func:`mix` takes it.
 
-    Decisions meet their rows by shuffle key and id in one shuffle; repeated rows share key and
-    id and are dealt their decisions one each.
+    Rows are numbered once, in a table of their own, and meet their decisions by that number: no
+    group of equal rows lies in one task. Null text: never taken. Columns may have any names;
+    repeated rows are rows of their own; an empty table stays empty; texts may be of any length.
     """
-    decided = _decide(docs, weights, max_repeats, seed, id_col, source_col, text_col).where("rounds > 0")
-    lists = decided.groupBy(F.col("key").alias("__key"), F.col("id_order").alias("__id")).agg(F.sort_array(F.collect_list("rounds"), asc=False).alias("__rounds"))
-    rows = docs.withColumn("__key", shuffle_key(id_col, source_col, text_col, seed)).withColumn("__id", _id_order(F.col(id_col)))
-    rows = rows.join(lists, ["__key", "__id"]).withColumn("__at", F.row_number().over(Window.partitionBy("__key", "__id").orderBy("__key")))
-    rows = rows.where(F.col("__at") <= F.size("__rounds")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.element_at("__rounds", F.col("__at")))))
-    return rows.select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("rid"), row), "rows")
+    parts = rows.select("rid", *[F.col("row").getField(c).alias(n) for c, n in ((id_col, "id"), (source_col, "source"), (text_col, "text"))])
+    decided = _decide(parts, weights, max_repeats, seed, "id", "source", "text", ("rid",)).where("rounds > 0").select("rid", "rounds")
+    return rows.join(decided, "rid").select("row", F.explode(F.sequence(F.lit(1), "rounds")).alias("copy")).select("row.*")
 
 
 def _id_order(c: Column) -> Column:
     return F.coalesce(c.cast("long"), F.lit(-(2**63)))
 
 
-def _decide(docs: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: str, id_col: str, source_col: str, text_col: str) -> DataFrame:
+def _decide(docs: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: str, id_col: str, source_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     base = docs.select(
+        *carry,
         F.col(id_col).alias("id"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("skey"),
         F.col(source_col).cast("string").alias("source"),

@@ -253,13 +253,13 @@ def find(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) ->
     apart even where all their columns repeat. Only rows with a candidate meet their spans in a
     shuffle; the others keep an empty array."""
     text = text_or_empty(text_col)
-    t = docs.select(F.monotonically_increasing_id().alias("rid"), *[F.col(c).alias(f"keep_{c}") for c in keep], *_scan(text))
+    t = docs.select(F.monotonically_increasing_id().alias("rid"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep], *_scan(text))
     some = (F.size("emails") > 0) | (F.size("loose_emails") > 0) | F.exists("islands", lambda x: x["m"].rlike(FOUR_DIGITS))
     t = cut(t.withColumn("some", some), "scanned")
     found = cut(candidates(t.where("some")), "candidates")
     chosen = select(found, *fit(docs.sparkSession))
     spans = chosen.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "base", "score"))).alias("spans"))
-    names = [f"keep_{c}" for c in keep]
+    names = [f"`keep_{c}`" for c in keep]
     none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,base:boolean,score:double>>")
     met = t.where("some").select("rid", *names).join(spans, "rid", "left").select(*names, F.coalesce("spans", none).alias("spans"))
     return t.where("NOT some").select(*names, none.alias("spans")).unionByName(met)
@@ -291,7 +291,12 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one
-    (the first one's kind). ``length_col``, if given, is set to the new length."""
+    (the first one's kind). ``length_col``, if given, is set to the new length.
+
+    Null texts stay null; repeated rows and columns of any name are kept; an empty table stays
+    empty; texts may be of any length. Rows without a candidate stay where they are, the others
+    meet their spans by their number in one shuffle.
+    """
     columns = tuple(docs.columns)
     s = find(docs, text_col, keep=columns)
     text = F.col(f"keep_{text_col}")
@@ -307,7 +312,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
     pieces = F.zip_with("merged", F.slice(ends, F.lit(1), F.size("merged")), lambda x, e: F.concat(F.substr(text, (e + 1).cast("int"), (x["start"] - e).cast("int")), F.element_at(names, x["kind"] + 1)))
     new = F.concat(F.array_join(pieces, ""), F.substr(text, (F.element_at(ends, -1) + 1).cast("int")))
     out = s.withColumn("merged", merged).withColumn("new", F.when(F.size("merged") > 0, new).otherwise(text))
-    cols = {c: F.col(f"keep_{c}") for c in columns} | {text_col: F.col("new")}
+    cols = {c: F.col(f"`keep_{c}`") for c in columns} | {text_col: F.col("new")}
     if length_col:
         cols[length_col] = F.length("new").cast("long")
     return out.select(*[c.alias(n) for n, c in cols.items()])

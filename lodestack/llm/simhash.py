@@ -163,7 +163,8 @@ def components(docs: DataFrame, max_bits: int = 4, shingle: int = 4, id_col: str
     Rows with equal fingerprints are one class and stand for one node. Null and wordless texts
     have fingerprint zero and are linked like any other. A null id is skipped as a component's
     smallest id (and is the component only where no other id is there); repeated rows share
-    their component; an empty table gives an empty result; other columns are ignored.
+    their component; an empty table gives an empty result; other columns, whatever their names,
+    are ignored. Whole texts of any length, whose bits are counted in blocks of shingles.
     """
     bound_batches(docs.sparkSession)
     rows = cut(docs.select(F.col(id_col).alias("id"), fingerprint(text_or_empty(text_col), shingle).alias("fp"), *[F.col(c).alias(f"keep_{c}") for c in keep]), "fingerprints")
@@ -173,3 +174,23 @@ def components(docs: DataFrame, max_bits: int = 4, shingle: int = 4, id_col: str
     shared = shared.join(shared.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
     out = rows.join(shared, "fp", "left")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "id").alias("component_id"), *[F.col(f"keep_{c}").alias(c) for c in keep])
+
+
+def keep_one(docs: DataFrame, max_bits: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of near-duplicates, with all its columns: the one with the
+    smallest id (nulls last), then the shorter text, its hash, and of rows that agree in all
+    that, any one. Null and wordless texts are one component. An empty table stays empty;
+    columns may have any names; texts may be of any length.
+
+    Fingerprints are taken once; what a fingerprint's rows offer is a minimum that is combined
+    before it is shuffled, so no task holds a group of copies.
+    """
+    bound_batches(docs.sparkSession)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("rid"), fingerprint(text_or_empty(text_col), shingle).alias("fp"), row), "fingerprints")
+    key, text = F.col("row").getField(id_col), F.col("row").getField(text_col)
+    best = F.min(F.struct(key.isNull().alias("none"), key.alias("id"), F.length(text).alias("n"), F.xxhash64(text).alias("h"), F.col("rid"))).alias("best")
+    classes = cut(rows.groupBy("fp").agg(best), "classes")
+    roots = cut(connected_components(link_fingerprints(classes.select("fp"), max_bits)), "roots")
+    chosen = classes.join(roots, classes.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
+    return rows.join(chosen.select(F.col("best.rid").alias("rid")), "rid", "left_semi").select("row.*")

@@ -6,7 +6,7 @@ from pathlib import Path
 
 import numpy as np
 
-from lodestack.llm import embdedup
+from lodestack.llm import embdedup, simhash
 from lodestack.llm.components import connected_components
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
@@ -87,6 +87,39 @@ def test_near_dedup_keeps_one_of_repeated_ids(spark):
     assert sorted((str(x.doc_id) for x in corpus_pipeline.near_dedup(spark, docs, "").collect())) == ["1", "None"]
 
 
+CLASHING = ["row", "rid", "fp", "score", "lang_pred", "found", "rounds", "copy", "key", "size", "spans", "id", "a.b"]
+
+
+def test_pipeline_stages_leave_clashing_columns_alone(spark):
+    text = "stone river under bright window people never water "
+    schema = COLUMNS + ", " + ", ".join(f"`{c}` string" for c in CLASHING if c not in ("score",)) + (", score string" if "score" not in COLUMNS else "")
+    more = len(spark.createDataFrame([], schema).columns) - 6
+    rows = [(i, f"{text * 4}{i} " * (1 + 3000 * (i == 7)) if i % 3 else f"{text * 5}", "en", f"s{i % 2}", 5, "own", *[f"v{i}"] * more) for i in range(30)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns
+        assert {x[-1] for x in got.collect()} <= {f"v{i}" for i in range(30)} and got.count()
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() < 30
+
+
+def test_near_dedup_against_plain_groups(spark):
+    r = random.Random(3)
+    texts = [" ".join(r.choices([f"w{k}" for k in range(50)], k=r.randint(0, 60))) for _ in range(60)]
+    texts += [t.replace("w1 ", "w2 ", 1) for t in texts[:20]] + texts[:15] + [None, ""]
+    docs = spark.createDataFrame([(r.choice([i, None]) if i % 9 == 0 else i, t, "en", "s", 0, "") for i, t in enumerate(texts)], COLUMNS)
+    found = {}
+    for x in simhash.components(docs, keep=("text",)).collect():
+        found.setdefault(x.fingerprint, []).append(x)
+    prints = {f: int(f, 16) for f in found}
+    groups = []
+    for f in prints:
+        near = [g for g in groups if any((prints[f] ^ prints[o]).bit_count() <= 4 for o in g)]
+        groups = [g for g in groups if g not in near] + [[f, *[o for g in near for o in g]]]
+    want = sorted((min([x.doc_id for f in g for x in found[f] if x.doc_id is not None], default=-1) for g in groups))
+    assert sorted(-1 if x.doc_id is None else x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == want
+
+
 def test_pipeline_empty(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
