@@ -4,59 +4,57 @@ Stages, in order: language ID (documents that it rejects go), SimHash near-dedup
 of each group stays), PII (spans are replaced), mixing sources to target weights (documents are
 dropped or repeated), byte-level BPE encoding. Each stage's result is written as Parquet and
 read again as the next one's ``docs``; all but the last return the columns of ``documents``
-that they were given.
+that they were given, under any names and with any others beside them. Tables that a stage
+needed for itself are deleted when it has been written, its input when the next one has.
 
 Nulls and ties: a null text is rejected by the first stage; of a group of near-duplicates the
-row with the smallest id stays, and of repeated rows with that id one; rows whose ids are all
-null are one group only where their texts are near-duplicates. An empty table stays empty.
+row with the smallest id stays (nulls last), and of repeated rows one. An empty table stays
+empty; texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import bpe, langid, mixing, pii, simhash
-from lodestack.llm.common import fold_bucket, new_path
+from lodestack.llm.common import fold_bucket
+from lodestack.shared import discard, new_path, temporary, write
 
 #: Share of the probability that the best language needs.
 LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is recognised."""
+    """Keep documents whose language is recognised: not ``und`` and at LEAST_SCORE or more.
+    Null texts and those without a letter go; repeated rows stay what they are."""
     model = langid.fit(docs, fold_bucket(4) != 2)
-    found = langid.predict(docs.withColumnsRenamed({"score": "__score", "lang_pred": "__lang_pred"}), model)
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"__score": "score", "__lang_pred": "lang_pred"}).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    found = langid.predict(rows, model)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of near-duplicates."""
-    found = simhash.components(docs.select("doc_id", "text"))
-    # ids to keep: an id of its own component; among rows that repeat the id, one
-    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__fp")).distinct()
-    marked = docs.withColumn("__fp2", F.lower(F.lpad(F.hex(simhash.fingerprint(F.coalesce(F.col("text"), F.lit("")))), 16, "0")))
-    met = marked.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp2") == F.col("__fp")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "__fp2").orderBy(F.length("text"), F.xxhash64("text")))
-    return met.withColumn("__n", first).where("__n = 1").select(*docs.columns)
+    """Keep one document of each component of near-duplicates: the smallest id, nulls last."""
+    return simhash.keep_one(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind."""
+    """Replace personal data by its kind; ``n_chars``, where there, follows. Null texts stay."""
     return pii.redact(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or drop documents so that sources meet their targets."""
+    """Repeat or drop documents so that sources meet their targets. A null source is one of its
+    own; texts without a word are never taken."""
     return mixing.blend(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the byte offset of each, and whether they decode to
-    the document's text."""
+    the document's text. A null text has no ids; repeated rows each get a row."""
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
     return coded.select("doc_id", "lang", "source", "ids", "id_starts", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
@@ -75,8 +73,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         path = new_path(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with temporary():
+            write(stage(spark, docs, sf_dir).write, spark, path)
+        discard(docs)
         docs = spark.read.parquet(path)
+        docs._lodestack_path = path
     return docs
