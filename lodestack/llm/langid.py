@@ -12,6 +12,7 @@ import re
 import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,23 +44,25 @@ class WordFirstModel:
 
     def __init__(self, langs: list[str], words: tuple[pa.Array, np.ndarray], grams: dict[int, tuple[pa.Array, np.ndarray]]):
         """``words`` and, by length, ``grams``: each with its occurrences by language."""
-        self.langs = langs
-        self.tables = {0: words, **grams}
-        self.scores = {n: self._log(table) for n, (_, table) in self.tables.items()}
-        self._index()
-
-    def _index(self) -> None:
-        self.find = {n: {w: i for i, w in enumerate(names.to_pylist())} for n, (names, _) in self.tables.items()}
-        self.memo: dict[str, int] = {}
-        self.memo_scores = np.zeros((0, len(self.langs)))
+        tables = {0: words, **grams}
+        self.langs, self.names = langs, {n: names for n, (names, _) in tables.items()}
+        self.scores = {n: self._log(table) for n, (_, table) in tables.items()}
 
     def __getstate__(self):
-        return self.langs, {n: names for n, (names, _) in self.tables.items()}, self.scores
+        return self.langs, self.names, self.scores
 
     def __setstate__(self, state):
-        self.langs, names, self.scores = state
-        self.tables = {n: (x, None) for n, x in names.items()}
-        self._index()
+        self.langs, self.names, self.scores = state
+
+    @cached_property
+    def find(self) -> dict[int, dict[str, int]]:
+        """Places of words (0) and n-grams by length; built where texts are scored."""
+        return {n: {w: i for i, w in enumerate(names.to_pylist())} for n, names in self.names.items()}
+
+    @cached_property
+    def memo(self) -> dict[str, int]:
+        self.memo_scores = np.zeros((MEMO, len(self.langs)))
+        return {}
 
     @staticmethod
     def _log(table: np.ndarray) -> np.ndarray:
@@ -67,7 +70,8 @@ class WordFirstModel:
         if not table.size:
             return table
         logs = np.log(table + 0.5) - np.log(table.sum(0) + 0.5 * len(table))
-        return logs - logs.mean(1, keepdims=True)
+        logs -= logs.mean(1, keepdims=True)
+        return logs
 
     @staticmethod
     def split(word: str, n: int) -> list[str]:
@@ -84,8 +88,6 @@ class WordFirstModel:
                 if known:
                     got = self.scores[n][known].mean(0)
                     break
-            if not len(self.memo_scores):
-                self.memo_scores = np.zeros((MEMO, len(self.langs)))
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             at = self.memo[word] = len(self.memo)
