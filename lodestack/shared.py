@@ -58,15 +58,39 @@ _blocks: list[list[DataFrame]] = []
 
 
 @contextmanager
-def temporary() -> Iterator[None]:
-    """Tables that :func:`cut` writes inside are deleted at the end; results that read them must
-    have been written by then."""
+def noted() -> Iterator[list[DataFrame]]:
+    """The tables that :func:`cut` writes inside."""
     _blocks.append([])
     try:
-        yield
+        yield _blocks[-1]
     finally:
-        for df in _blocks.pop():
-            discard(df)
+        _blocks.pop()
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables that :func:`cut` writes inside are deleted at the end; results that read them must
+    have been written by then."""
+    with noted() as tables:
+        try:
+            yield
+        finally:
+            for df in tables:
+                discard(df)
+
+
+def in_block() -> bool:
+    return bool(_blocks)
+
+
+def discard_unread(tables: list[DataFrame], df: DataFrame) -> list[DataFrame]:
+    """Deletes those of the cut tables that ``df`` does not read; the others."""
+    files = df.inputFiles() if tables else []
+    kept = [t for t in tables if any(f"/{t._lodestack_path.rsplit('/', 1)[1]}/" in f for f in files)]
+    for t in tables:
+        if t not in kept:
+            discard(t)
+    return kept
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
