@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import cut, text_or_empty
+from .common import cut, discard, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -51,7 +51,7 @@ COUNTED = "units|items|pcs|rows|kg|km|pages|each"
 FEATURES = ("kind", "n_digits", "n_length", "n_seps", "n_distinct", "luhn", "parts", "paren", "before_alnum", "after_alnum", "context", "other", "counted")
 #: Sentences generated, shape of the trees, precision that a kind's threshold must reach among
 #: the sentences kept for it (one of KEPT), and how many selected ones must show it.
-EXAMPLES, TREES, DEPTH, PRECISION, KEPT, SHOWN = 6000, 32, 4, 0.98, 3, 20
+EXAMPLES, TREES, DEPTH, PRECISION, KEPT, SHOWN = 6000, 24, 3, 0.98, 3, 20
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -200,8 +200,11 @@ def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
 def fit(spark: SparkSession, n: int = EXAMPLES) -> tuple[gbt.Trees, list[float]]:
     """Trees that tell personal data among the looser spans of generated sentences, and each
     kind's threshold (above 1: nothing of the kind is added)."""
-    some = examples(spark, n)
-    found = candidates(some.select("rid", *_scan(F.col("text")))).where("NOT base")
+    if n in _fitted:
+        return _fitted[n]
+    some = cut(examples(spark, n), "examples")
+    scanned = cut(some.select("rid", *_scan(F.col("text"))), "scanned")
+    found = candidates(scanned).where("NOT base")
     rows = found.join(some.drop("text"), "rid").withColumn("y", F.when(F.col("kind") == F.col("planted"), F.col("y")).otherwise(0))
     rows = rows.groupBy(*FEATURES, "y", "kept").count().orderBy(*FEATURES, "y", "kept").collect()
     x = np.array([[r[f] for f in FEATURES] for r in rows], np.float64).reshape(-1, len(FEATURES))
@@ -215,9 +218,16 @@ def fit(spark: SparkSession, n: int = EXAMPLES) -> tuple[gbt.Trees, list[float]]
         chosen = [(t, w[mine & (p >= t)].sum(), (w * y)[mine & (p >= t)].sum()) for t in np.unique(p[mine]) if t >= 0.5]
         good = [t for t, every, right in chosen if every >= SHOWN and right >= PRECISION * every]
         thresholds.append(float(good[0]) if good else 2.0)
+    discard(some)
+    discard(scanned)
+    _fitted[n] = trees, thresholds
     return trees, thresholds
 
 
+#: Models by number of sentences: they depend on nothing else.
+_fitted: dict[int, tuple[gbt.Trees, list[float]]] = {}
+
+
 def score_column(trees: gbt.Trees) -> Column:
     """The ensemble as one expression over the feature columns."""
 

@@ -352,15 +352,6 @@ def test_lm_contract(spark):
     assert lm.score(frame(spark, data).limit(0)).count() == 0
 
 
-def test_lm_tokens_share_one_probability():
-    """The decisions about a byte sum to one over the alphabet."""
-    counts = np.zeros((int(lm.OFFSETS[-1]), 2))
-    model = lm.learn(counts, [b"ab", b"abc", b"b"] * 10)
-    single = sum(10 ** model.log10([bytes([b])])[0] for b in range(1, 256))
-    assert single <= 1 and 10 ** model.log10([b""])[0] <= 1
-    assert np.allclose(lm.share_so_far(np.array([5, 5, 7, 5])), [0, 1, 0, 2 / 3])
-
-
 # ---- media
 
 
