@@ -10,6 +10,8 @@ from .extract import first_per
 
 #: An entity of the built-in recogniser: one or more capitalised words in a row.
 ENTITY = r"\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+)*"
+#: Language whose recogniser others take.
+FALLBACK = "es"
 NO_RELATION, RELATION_LENGTH, LEAST_LENGTH = "relacionado_con", 40, 10
 # Node names that count as noise.
 NOISE_WORDS = (
@@ -28,18 +30,28 @@ def unique_chunks(metadata: DataFrame) -> DataFrame:
     return one.select(F.coalesce("doc_id", F.lit("")).alias("doc_id"), "chunk_id", F.coalesce("fuente", F.lit("")).alias("fuente"), F.coalesce("fenomeno", F.lit(0)).alias("fenomeno"), F.coalesce("texto", F.lit("")).alias("texto"))
 
 
-def sentence_entities(chunks: DataFrame, recognise: Column | None = None, relate: Column | None = None) -> DataFrame:
+def sentence_entities(chunks: DataFrame, recognise: Column | None = None, relate: Column | None = None, routes: dict[str, tuple[Column, Column | None]] | None = None) -> DataFrame:
     """One row per chunk and sentence: ``sent``, ``entities`` array<struct<text, kind>> and
     ``relation``. A recogniser is a Column over ``sentence``; the built-in one takes runs of
-    capitalised words, and the first two verb forms as relation."""
+    capitalised words, and the first two verb forms as relation. ``routes`` gives languages
+    recognisers (and relations) of their own: a chunk's language is detected from its text, and
+    one without a route takes that of FALLBACK, or the general one where that has none either."""
     some = chunks.where(F.length(X.strip(F.col("texto"))) >= LEAST_LENGTH)
-    s = some.select("doc_id", "chunk_id", "fenomeno", F.posexplode(X.document_sentences(F.col("texto"))).alias("sent", "sentence"))
+    language = X.detect_language(F.col("texto")) if routes else F.lit(FALLBACK)
+    s = some.select("doc_id", "chunk_id", "fenomeno", language.alias("language"), F.posexplode(X.document_sentences(F.col("texto"))).alias("sent", "sentence"))
     found = F.transform(F.regexp_extract_all("sentence", F.lit(ENTITY), F.lit(0)), lambda e: F.struct(e.alias("text"), F.when(F.contains(e, F.lit(" ")), "MULTI").otherwise("MISC").alias("kind")))
     verbs = F.array_join(F.slice(F.regexp_extract_all(F.lower("sentence"), F.lit(VERB), F.lit(0)), 1, 2), "_")
-    s = s.withColumn("entities", recognise if recognise is not None else found)
-    s = s.withColumn("entities", F.filter("entities", lambda e: F.length(X.strip(e["text"])) > 1))
+    entities = recognise if recognise is not None else found
     relation = relate if relate is not None else verbs
-    return s.withColumn("relation", F.left(F.when(relation == "", NO_RELATION).otherwise(relation), F.lit(RELATION_LENGTH))).drop("sentence")
+    if routes:
+        general = entities, relation
+        rest = routes.get(FALLBACK, general)
+        entities, relation = rest[0], general[1] if rest[1] is None else rest[1]
+        for name, (own, own_relation) in routes.items():
+            entities = F.when(F.col("language") == name, own).otherwise(entities)
+            relation = F.when(F.col("language") == name, general[1] if own_relation is None else own_relation).otherwise(relation)
+    s = s.withColumn("entities", F.filter(entities, lambda e: F.length(X.strip(e["text"])) > 1))
+    return s.withColumn("relation", F.left(F.when(relation == "", NO_RELATION).otherwise(relation), F.lit(RELATION_LENGTH))).drop("sentence", "language")
 
 
 def triples(sentences: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from .operators import extract, fusion, graph, spell, vector
 from .operators.chunk import ChunkConfig, chunks, fan_out
 from .operators.embed import hash_encoders
 from .plans import knowledge, retrieval
-from .shared import cut, new_path
+from .shared import cut, dealt, new_path
 from .sources import articles as article_source
 from .sources import html
 
@@ -41,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return dealt(table(spark, sf_dir, "documents"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

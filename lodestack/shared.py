@@ -113,3 +113,11 @@ def discard(df: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores, dealt over the cores: a small table of
+    one row group would otherwise be one task's work. Larger scans stay as they are; rows do not
+    change."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

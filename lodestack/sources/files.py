@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.extract import contract, not_yet
+from ..shared import cut
 from . import articles, csvs, geo, html, paged
 
 EXTENSIONS = ("pdf", "csv", "html", "json", "pbf")
 
 
 def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """All files under ``root`` whose lower-cased extension is accepted: path, length, ext, content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """All files under ``root`` whose lower-cased extension is accepted: path, length, ext, content.
+    Others are not listed, let alone read."""
+    either = ",".join("".join(f"[{c.lower()}{c.upper()}]" for c in e) for e in extensions)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{either}}}").load(root)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     return files.withColumn("ext", ext).where(F.col("ext").isin(*extensions))
 
@@ -26,13 +29,14 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSION
 def extract(spark: SparkSession, root: str, done: DataFrame | None = None, phenomenon: str = "1") -> tuple[DataFrame, DataFrame]:
     """Processed documents of a tree, and the files that failed (``path, error``). ``done``
     (``path``) holds what an earlier run has processed. Paths keep their extension as key, so
-    files of one name in two formats stay apart."""
-    files = scan(spark, root)
-    if done is not None:
-        files = not_yet(files, done, "path")
+    files of one name in two formats stay apart. A file is read and parsed once, by its format's
+    reader, into a table that both results come from."""
     good, bad = [], []
     for kind, reader in {"html": html.documents, "json": articles.documents, "csv": csvs.documents, "pdf": paged.documents, "pbf": geo.documents}.items():
-        found = reader(files.where(F.col("ext") == kind))
+        files = scan(spark, root, (kind,))
+        if done is not None:
+            files = not_yet(files, done, "path")
+        found = cut(reader(files), f"read-{kind}")
         good.append(contract(found.where("error IS NULL"), kind, phenomenon).withColumn("path", F.col("metadata.fuente")))
         bad.append(found.where("error IS NOT NULL").select("path", "error"))
 

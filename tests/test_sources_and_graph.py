@@ -297,3 +297,32 @@ def test_ingest_takes_files_once(spark, tmp_path):
             s = ingest.ingest(ingest.documents(spark, str(tmp_path / "in"), schema), str(out), str(tmp_path / "cp"))
             s.awaitTermination()
         assert spark.read.parquet(str(out)).count() == i + 1
+
+
+def test_recognisers_are_routed_by_language(spark):
+    from pyspark.sql import functions as F
+
+    from lodestack.operators import graph
+
+    texts = {"c1": "The river of the north is in the land that was Spain.", "c2": "El río de la casa que es de los hombres en Madrid.", "c3": "O rio da casa que não é dos homens em um Porto com a ponte."}
+    chunks = spark.createDataFrame([("d", c, 1, t) for c, t in texts.items()], "doc_id string, chunk_id string, fenomeno int, texto string")
+
+    def mark(name):
+        return F.array(F.struct(F.lit(f"from {name}").alias("text"), F.lit("X").alias("kind")))
+
+    routes = {"en": (mark("en"), F.lit("of_en")), "es": (mark("es"), None)}
+    got = {x.chunk_id: x for x in graph.sentence_entities(chunks, routes=routes).collect()}
+    assert [got[c].entities[0].text for c in ("c1", "c2", "c3")] == ["from en", "from es", "from es"]
+    assert got["c1"].relation == "of_en" and got["c2"].relation != "of_en"
+    plain = {x.chunk_id: x.entities for x in graph.sentence_entities(chunks, routes={"en": (mark("en"), None)}).collect()}
+    assert plain["c2"] == graph.sentence_entities(chunks.where("chunk_id = 'c2'")).first().entities
+
+
+def test_small_scans_are_dealt(spark, tmp_path):
+    from lodestack.shared import dealt
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    small = dealt(spark.read.parquet(str(tmp_path / "one")))
+    assert small.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and small.count() == 1000
+    large = spark.range(100, numPartitions=50)
+    assert dealt(large) is large
