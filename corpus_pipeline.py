@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm import bpe, langid, mixing, pii, simhash
 from lodestack.llm.common import fold_bucket
-from lodestack.shared import discard, discard_unread, in_block, new_path, noted, temporary, write
+from lodestack.shared import dealt, discard, discard_unread, in_block, new_path, noted, temporary, write
 
 #: Share of the probability that the best language needs.
 LEAST_SCORE = 0.5
@@ -99,7 +99,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for _, step in STAGES:
         path = new_path(spark, "stage")
         with temporary():
