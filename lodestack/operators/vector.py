@@ -2,22 +2,26 @@
 
 A search joins a batch of queries with all vectors. Queries under a checked bound are broadcast
 and every vector batch is one matrix product; above it, blocks of queries meet blocks of vectors
-in a co-grouped shuffle. Only each part's best k leave it; a window merges them.
+in a co-grouped shuffle. Only each part's best k leave it; a window merges them. An index is built
+once and stored whole: vectors, or centroids and lists by cell, or graphs by shard.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..shared import cut
+
 #: Queries that may be broadcast; queries and vectors of a block otherwise.
 BROADCAST_QUERIES, QUERY_BLOCK, VECTOR_BLOCK = 4096, 2048, 100_000
 #: Similarities are ranked at this many decimals, ties by the vector's id.
@@ -25,15 +29,22 @@ DECIMALS = 9
 
 
 class Index(Protocol):
-    """What every index offers: build from vectors, search a batch of queries."""
+    """What every index offers: build from vectors, search a batch of queries, be stored."""
 
     def build(self, vectors: DataFrame) -> "Index": ...
 
     def search(self, queries: DataFrame, k: int) -> DataFrame: ...
 
+    def store(self, path: str) -> None: ...
+
+    def restore(self, spark: SparkSession, path: str) -> "Index": ...
+
 
 def matrix(vectors, unit: bool) -> np.ndarray:
-    m = np.array([np.asarray(v, np.float64) for v in vectors])
+    if isinstance(vectors, pa.Array):
+        m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    else:
+        m = np.array([np.asarray(v, np.float64) for v in vectors])
     if unit and len(m):
         n = np.sqrt((m * m).sum(1, keepdims=True))
         m = np.divide(m, n, out=m.copy(), where=n > 0)
@@ -62,6 +73,37 @@ def ranked(found: DataFrame, k: int, by: str = "query_id", item: str = "item_id"
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _schema(queries: DataFrame, vectors: DataFrame) -> str:
+    q_type, v_type = queries.schema["query_id"].dataType.simpleString(), vectors.schema["item_id"].dataType.simpleString()
+    return f"query_id {q_type}, item_id {v_type}, score double"
+
+
+def _few(queries: DataFrame, unit: bool) -> tuple[list, np.ndarray] | None:
+    """Ids and matrix of the queries, if they are few enough to broadcast."""
+    head = queries.select("query_id", "embedding").limit(BROADCAST_QUERIES + 1).collect()
+    return ([r["query_id"] for r in head], matrix([r["embedding"] for r in head], unit)) if len(head) <= BROADCAST_QUERIES else None
+
+
+def _blocks(column: str, n: int):
+    return F.pmod(F.hash(column), F.lit(n))
+
+
+def _every(n: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str], found: Callable[[pd.DataFrame, list, np.ndarray], pd.DataFrame], unit: bool, schema: str) -> DataFrame:
+    """``found(vectors, query ids, query matrix)`` of every block of queries and of vectors that
+    share their keys."""
+
+    def pair(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+        return found(v, q["query_id"].tolist(), matrix(q["embedding"], unit))
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, schema)
+
+
 def _inner(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return q @ v.T
 
@@ -71,6 +113,22 @@ def _from_distance(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.maximum(d, 0))
 
 
+def _kinds(queries: DataFrame, vectors: DataFrame) -> tuple:
+    return to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(vectors.schema["item_id"].dataType), pa.float64()
+
+
+def _batch(columns, kinds) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "item_id", "score"])
+
+
+def _exact(scores: Callable, unit: bool, k: int) -> Callable[[pd.DataFrame, list, np.ndarray], pd.DataFrame]:
+    def found(v: pd.DataFrame, ids: list, q: np.ndarray) -> pd.DataFrame:
+        cols = _best(ids, v["item_id"].tolist(), scores(q, matrix(v["embedding"], unit)), k)
+        return pd.DataFrame(dict(zip(("query_id", "item_id", "score"), cols, strict=True)))
+
+    return found
+
+
 class Flat:
     """Exact search. ``metric``: ``ip`` on unit vectors (cosine) or ``l2`` (score 1 / (1 + d²))."""
 
@@ -82,39 +140,32 @@ class Flat:
         self.vectors = vectors.select("item_id", "embedding")
         return self
 
+    def store(self, path: str) -> None:
+        self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+
+    def restore(self, spark: SparkSession, path: str) -> "Flat":
+        return self.build(spark.read.parquet(f"{path}/vectors"))
+
     def search(self, queries: DataFrame, k: int = 50) -> DataFrame:
         """``queries``: query_id, embedding. Returns query_id, item_id, score, rank."""
-        q_type, v_type = queries.schema["query_id"].dataType.simpleString(), self.vectors.schema["item_id"].dataType.simpleString()
-        schema = f"query_id {q_type}, item_id {v_type}, score double"
-        unit = self.metric == "ip"
+        schema, unit = _schema(queries, self.vectors), self.metric == "ip"
         scores = _inner if unit else _from_distance
-        head = queries.select("query_id", "embedding").limit(BROADCAST_QUERIES + 1).collect()
-        if len(head) <= BROADCAST_QUERIES:
-            if not head:
+        if few := _few(queries, unit):
+            if not few[0]:
                 return ranked(queries.sparkSession.createDataFrame([], schema), k)
-            shared = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in head], matrix([r["embedding"] for r in head], unit)))
-
-            kinds = (to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(self.vectors.schema["item_id"].dataType), pa.float64())
+            shared, kinds = queries.sparkSession.sparkContext.broadcast(few), _kinds(queries, self.vectors)
 
             def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, q = shared.value
                 for b in batches:
                     if b.num_rows:
-                        cols = _best(ids, b.column(0).to_pylist(), scores(q, matrix(b.column(1).to_pylist(), unit)), k)
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["query_id", "item_id", "score"])
+                        yield _batch(_best(ids, b.column(0).to_pylist(), scores(q, matrix(b.column(1), unit)), k), kinds)
 
             return ranked(self.vectors.mapInArrow(near, schema), k)
         n_q, n_v = -(-queries.count() // QUERY_BLOCK), max(1, -(-self.vectors.count() // VECTOR_BLOCK))
-        left = queries.withColumn("qb", F.pmod(F.hash("query_id"), F.lit(n_q))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
-        right = self.vectors.withColumn("vb", F.pmod(F.hash("item_id"), F.lit(n_v))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-
-        def pair(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(v):
-                return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-            cols = _best(q["query_id"].tolist(), v["item_id"].tolist(), scores(matrix(q["embedding"], unit), matrix(v["embedding"], unit)), k)
-            return pd.DataFrame(dict(zip(("query_id", "item_id", "score"), cols, strict=True)))
-
-        return ranked(left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(pair, schema), k)
+        left = queries.withColumn("qb", _blocks("query_id", n_q)).withColumn("vb", _every(n_v))
+        right = self.vectors.withColumn("vb", _blocks("item_id", n_v)).withColumn("qb", _every(n_q))
+        return ranked(_met(left, right, ["qb", "vb"], _exact(scores, unit, k), unit, schema), k)
 
 
 def ivf_cells(n: int, wanted: int = 100) -> int:
@@ -147,44 +198,94 @@ class IVF:
         self.lists = assign(vectors.select("item_id", "embedding"), self.centroids)
         return self
 
+    def _blocks_a_cell(self) -> int:
+        """Blocks into which cells are cut, by the largest of them."""
+        return max(1, -(-(self.lists.groupBy("cell").count().agg(F.max("count")).first()[0] or 0) // VECTOR_BLOCK))
+
+    def store(self, path: str) -> None:
+        """Lists by cell, a large cell in several files; centroids last, as the mark of a whole index."""
+        dealt = self.lists.repartition("cell", _blocks("item_id", self._blocks_a_cell()))
+        dealt.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/lists")
+        rows = self.lists.sparkSession.createDataFrame(self.centroids, "cell int, centroid array<double>")
+        rows.write.mode("overwrite").parquet(f"{path}/centroids")
+
+    def restore(self, spark: SparkSession, path: str) -> "IVF":
+        rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
+        self.centroids = [(r["cell"], list(r["centroid"])) for r in rows]
+        self.lists = spark.read.parquet(f"{path}/lists")
+        return self
+
     def search(self, queries: DataFrame, k: int = 50) -> DataFrame:
-        q = assign(queries.select("query_id", "embedding"), self.centroids, self.probes)
-        pairs = q.withColumnRenamed("embedding", "q").join(self.lists, "cell")
-        score = F.round(cosine("q", "embedding"), DECIMALS)
-        return ranked(pairs.select("query_id", "item_id", score.alias("score")), k)
+        """As ``Flat``; a query meets the rows of its cells only, cells that none asks are not read."""
+        schema = _schema(queries, self.lists)
+        if few := _few(queries, True):
+            if not few[0]:
+                return ranked(queries.sparkSession.createDataFrame([], schema), k)
+            asked = _cells(few[1], self.centroids, self.probes)
+            shared, kinds = queries.sparkSession.sparkContext.broadcast((*few, asked)), _kinds(queries, self.lists)
 
+            def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                ids, q, cells = shared.value
+                for b in batches:
+                    at = b.column(2).to_numpy()
+                    for c in np.unique(at):
+                        rows, who = pa.array(np.flatnonzero(at == c)), np.flatnonzero((cells == c).any(1))
+                        if len(who):
+                            x = matrix(b.column(1).take(rows), True)
+                            yield _batch(_best([ids[i] for i in who], b.column(0).take(rows).to_pylist(), q[who] @ x.T, k), kinds)
+
+            lists = self.lists.where(F.col("cell").isin(np.unique(asked).tolist()))
+            return ranked(lists.select("item_id", "embedding", "cell").mapInArrow(near, schema), k)
+        n_q, n_v = -(-queries.count() // QUERY_BLOCK), self._blocks_a_cell()
+        q = assign(queries.select("query_id", "embedding"), self.centroids, self.probes)
+        left = q.withColumn("qb", _blocks("query_id", n_q)).withColumn("vb", _every(n_v))
+        right = self.lists.withColumn("vb", _blocks("item_id", n_v)).withColumn("qb", _every(n_q))
+        return ranked(_met(left, right, ["cell", "qb", "vb"], _exact(_inner, True, k), True, schema), k)
 
-def cosine(a: str, b: str):
-    def dot(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    n = F.sqrt(dot(F.col(a), F.col(a))) * F.sqrt(dot(F.col(b), F.col(b)))
-    return F.when(n > 0, dot(F.col(a), F.col(b)) / n).otherwise(0.0)
+def _cells(unit: np.ndarray, centroids: list[tuple[int, list[float]]], probes: int) -> np.ndarray:
+    """The ``probes`` nearest cells of every row."""
+    s = np.round(unit @ np.array([v for _, v in centroids], np.float64).T, DECIMALS)
+    return np.array([i for i, _ in centroids], np.int32)[np.argsort(-s, axis=1, kind="stable")[:, :probes]]
 
 
 def assign(vectors: DataFrame, centroids: list[tuple[int, list[float]]], probes: int = 1) -> DataFrame:
     """Adds ``cell``: the ``probes`` centroids of greatest inner product with the unit vector
     (ties to the lower cell), one row each. The centroids are a fixed number of rows."""
-    ids, c = [i for i, _ in centroids], np.array([v for _, v in centroids], np.float64)
 
     @F.arrow_udf("array<int>")
     def of(arrays: pa.Array) -> pa.Array:
-        s = np.round(matrix(arrays.to_pylist(), True) @ c.T, DECIMALS)
-        top = np.argsort(-s, axis=1, kind="stable")[:, :probes]
-        return pa.array([[ids[j] for j in row] for row in top], pa.list_(pa.int32()))
+        return pa.array(_cells(matrix(arrays, True), centroids, probes).tolist() if len(arrays) else [], pa.list_(pa.int32()))
 
     return vectors.withColumn("cell", F.explode(of("embedding")))
 
 
 class NSW:
-    """Small-world graphs, one per shard, searched greedily with a beam; shards' bests are merged."""
+    """Small-world graphs, one per shard, searched greedily with a beam; shards' bests are merged.
+    A graph is built once and kept as a table: node, item, vector and edges by shard."""
 
-    def __init__(self, m: int = 16, beam_build: int = 40, beam_search: int = 64, shard_rows: int = 20_000):
+    def __init__(self, m: int = 32, beam_build: int = 40, beam_search: int = 96, shard_rows: int = 20_000):
         self.m, self.beam_build, self.beam_search, self.shard_rows = m, beam_build, beam_search, shard_rows
 
     def build(self, vectors: DataFrame) -> "NSW":
         n = max(1, -(-vectors.count() // self.shard_rows))
-        self.vectors = vectors.select("item_id", "embedding").withColumn("shard", F.pmod(F.hash("item_id"), F.lit(n)))
+        dealt = vectors.select("item_id", "embedding").withColumn("shard", _blocks("item_id", n))
+        kinds = {c: dealt.schema[c].dataType.simpleString() for c in ("item_id", "embedding")}
+        graph, m, beam = self.graph, self.m, self.beam_build
+
+        def made(v: pd.DataFrame) -> pd.DataFrame:
+            v = v.sort_values("item_id").reset_index(drop=True)
+            return v.assign(node=range(len(v)), edges=graph(matrix(v["embedding"], True), m, beam))[["shard", "node", "item_id", "embedding", "edges"]]
+
+        schema = f"shard int, node int, item_id {kinds['item_id']}, embedding {kinds['embedding']}, edges array<int>"
+        self.graphs = cut(dealt.groupBy("shard").applyInPandas(made, schema), "graphs")
+        return self
+
+    def store(self, path: str) -> None:
+        self.graphs.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/graphs")
+
+    def restore(self, spark: SparkSession, path: str) -> "NSW":
+        self.graphs = spark.read.parquet(f"{path}/graphs")
         return self
 
     @staticmethod
@@ -217,50 +318,43 @@ class NSW:
         return edges
 
     def search(self, queries: DataFrame, k: int = 50) -> DataFrame:
-        q_type, v_type = queries.schema["query_id"].dataType.simpleString(), self.vectors.schema["item_id"].dataType.simpleString()
-        schema = f"query_id {q_type}, item_id {v_type}, score double"
-        m, bb, bs, walk, graph = self.m, self.beam_build, max(self.beam_search, k), self._walk, self.graph
+        schema, beam, walk = _schema(queries, self.graphs), max(self.beam_search, k), self._walk
 
         def found_in(v: pd.DataFrame, ids: list, q: np.ndarray) -> pd.DataFrame:
-            v = v.sort_values("item_id")
-            x = matrix(v["embedding"], True)
-            edges, items = graph(x, m, bb), v["item_id"].tolist()
-            rows = [(qi, items[j], round(s, DECIMALS)) for qi, vec in zip(ids, q, strict=True) for s, j in walk(x, edges, vec, bs, len(x))[:k]]
+            v = v.sort_values("node")
+            x, edges, items = matrix(v["embedding"], True), [e.tolist() for e in v["edges"]], v["item_id"].tolist()
+            rows = [(qi, items[j], round(s, DECIMALS)) for qi, vec in zip(ids, q, strict=True) for s, j in walk(x, edges, vec, beam, len(x))[:k]]
             return pd.DataFrame(rows, columns=["query_id", "item_id", "score"])
 
-        head = queries.select("query_id", "embedding").limit(BROADCAST_QUERIES + 1).collect()
-        if len(head) <= BROADCAST_QUERIES:
-            shared = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in head], matrix([r["embedding"] for r in head], True)))
-            return ranked(self.vectors.groupBy("shard").applyInPandas(lambda v: found_in(v, *shared.value), schema), k)
+        if few := _few(queries, True):
+            shared = queries.sparkSession.sparkContext.broadcast(few)
+            return ranked(self.graphs.groupBy("shard").applyInPandas(lambda v: found_in(v, *shared.value), schema), k)
         n_q = -(-queries.count() // QUERY_BLOCK)
-        n = self.vectors.agg(F.max("shard")).first()[0]
-        shards = F.explode(F.sequence(F.lit(0), F.lit(n or 0)))
-        left = queries.select("query_id", "embedding", F.pmod(F.hash("query_id"), F.lit(n_q)).alias("qb"), shards.alias("shard"))
-        right = self.vectors.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-
-        def pair(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(v):
-                return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-            return found_in(v, q["query_id"].tolist(), matrix(q["embedding"], True))
-
-        return ranked(left.groupBy("qb", "shard").cogroup(right.groupBy("qb", "shard")).applyInPandas(pair, schema), k)
+        n = 1 + (self.graphs.agg(F.max("shard")).first()[0] or 0)
+        left = queries.select("query_id", "embedding", _blocks("query_id", n_q).alias("qb")).withColumn("shard", _every(n))
+        right = self.graphs.withColumn("qb", _every(n_q))
+        return ranked(_met(left, right, ["qb", "shard"], found_in, True, schema), k)
 
 
 INDEXES = {"flat": Flat, "ivfflat": IVF, "hnsw": NSW}
 
 
-def save_vectors(vectors: DataFrame, path: str, encoder: str, kind: str = "flat") -> None:
-    """Vectors under ``path/encoder=../index=..`` as Parquet."""
-    vectors.write.mode("overwrite").parquet(f"{path}/encoder={encoder}/index={kind}")
+def _place(path: str, encoder: str, kind: str) -> str:
+    return f"{path}/encoder={encoder}/index={kind}"
+
 
+def save_index(index: Index, path: str, encoder: str) -> None:
+    """A built index under ``path/encoder=../index=..`` as Parquet."""
+    index.store(_place(path, encoder, next(k for k, c in INDEXES.items() if type(index) is c)))
 
-def load_vectors(spark, path: str, encoder: str, kind: str = "flat") -> DataFrame:
-    """The stored vectors of this kind, else the plain ones; neither: FileNotFoundError."""
-    from pyspark.errors import AnalysisException
 
-    for name in (kind, "flat"):
+def load_index(spark: SparkSession, path: str, encoder: str, kind: str = "flat", **options) -> Index:
+    """The stored index of this kind (``options`` are its constructor's), else the exact one;
+    neither: FileNotFoundError."""
+    for name, made in ((kind, lambda: INDEXES[kind](**options)), ("flat", Flat)):
         try:
-            return spark.read.parquet(f"{path}/encoder={encoder}/index={name}")
-        except AnalysisException:
-            continue
+            return made().restore(spark, _place(path, encoder, name))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     raise FileNotFoundError(f"no index for {encoder} under {path}")

@@ -192,12 +192,33 @@ def test_ties_go_to_the_lower_id(spark):
     assert [r.item_id for r in vector.Flat().build(v).search(q, 2).orderBy("rank").collect()] == [1, 3]
 
 
-def test_store(spark, tmp_path):
-    v, _ = points(spark, 5)
-    vector.save_vectors(v, str(tmp_path), "e")
-    assert vector.load_vectors(spark, str(tmp_path), "e", "hnsw").count() == 5
+def rows_of(found):
+    return {(r.query_id, r.item_id, r["rank"], r.score) for r in found.collect()}
+
+
+def test_stored_indexes_answer_as_built_ones(spark, tmp_path):
+    v, q = points(spark, 100)
     with pytest.raises(FileNotFoundError):
-        vector.load_vectors(spark, str(tmp_path), "f")
+        vector.load_index(spark, str(tmp_path), "e", "hnsw")
+    for kind, index in (("flat", vector.Flat()), ("ivfflat", vector.IVF(cells=5, probes=2)), ("hnsw", vector.NSW(m=16, shard_rows=40))):
+        vector.save_index(index.build(v), str(tmp_path), "e")
+        loaded = vector.load_index(spark, str(tmp_path), "e", kind, **({"probes": 2} if kind == "ivfflat" else {}))
+        assert type(loaded) is type(index)
+        assert rows_of(loaded.search(q, 10)) == rows_of(index.search(q, 10))
+    vector.save_index(vector.Flat().build(v), str(tmp_path), "plain")
+    assert type(vector.load_index(spark, str(tmp_path), "plain", "hnsw")) is vector.Flat
+
+
+def test_lists_take_queries_beyond_the_bound(spark, monkeypatch):
+    v, q = points(spark, n=200)
+    index = vector.IVF(cells=6, probes=2).build(v)
+    want = rows_of(index.search(q, 5))
+    monkeypatch.setattr(vector, "BROADCAST_QUERIES", 5)
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vector, "VECTOR_BLOCK", 15)
+    assert rows_of(index.search(q, 5)) == want and len(want) == 100
+    monkeypatch.setattr(vector, "BROADCAST_QUERIES", 4096)
+    assert index.search(q.limit(0), 5).count() == 0
 
 
 def test_encoders(spark):
@@ -245,13 +266,15 @@ def test_document_max(spark):
     assert [r.doc_id for r in fusion.document_max(df).orderBy("rank").collect()] == ["B", "A", "C"]
 
 
-def test_answers_end_to_end(spark):
+def test_answers_end_to_end(spark, tmp_path):
     texts = ["La inteligencia artificial afecta la defensa.", "Los drones vuelan sobre la frontera.", "El mercado de frutas abre temprano."]
     c = spark.createDataFrame([(f"D{i}", f"D{i}-chunk-000", t, "es") for i, t in enumerate(texts)], "doc_id string, chunk_id string, texto string, idioma string")
     q = spark.createDataFrame([("q1", " ¿inteligencia  artificial y defensa? "), ("q2", "drones en la frontera")], "query_id string, query_text string")
     for encoders in (hash_encoders(256), hash_encoders(256)[:1]):
         got = retrieval.answer(q, c, encoders).orderBy("query_id").collect()
         assert got[0].fragments[0].doc_id == "D0" and got[1].fragments[0].doc_id == "D1" and all(len(r.documents) <= 3 for r in got)
+    retrieval.index_chunks(c, encoders, str(tmp_path), ("hnsw",))
+    assert retrieval.answer(q, c, encoders, index="hnsw", stored=str(tmp_path)).orderBy("query_id").collect() == got
 
 
 # ---- graph
