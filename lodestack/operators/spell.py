@@ -32,17 +32,55 @@ def deletes(word: Column, edits: int = MAX_EDITS, prefix: int = PREFIX) -> Colum
 
 
 def met(words: DataFrame, entries: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
-    """``token, word, count`` of entries that share a delete with the token."""
-    a = words.select("token", F.explode(deletes(F.col("token"), edits)).alias("d"))
-    b = entries.select("word", "count", F.explode(deletes(F.col("word"), edits)).alias("d"))
-    return a.join(b, "d").where(F.abs(F.length("token") - F.length("word")) <= edits).select("token", "word", "count").distinct()
+    """``token, word, count`` of entries that share a delete with the token and whose length is
+    near enough: lengths are part of the key, so that long tokens of one beginning do not meet
+    all entries of that beginning."""
+    n = F.length("token")
+    near = F.filter(F.sequence(n - edits, n + edits), lambda x: x > 0)
+    a = words.select("token", F.explode(near).alias("n"), deletes(F.col("token"), edits).alias("ds")).select("token", "n", F.explode("ds").alias("d"))
+    b = entries.select("word", "count", F.length("word").alias("n"), F.explode(deletes(F.col("word"), edits)).alias("d"))
+    return a.join(b, ["d", "n"]).select("token", "word", "count").distinct()
+
+
+def part(text: Column, start: Column, letters: Column | None = None) -> Column:
+    return F.substring(text, start, F.length(text) if letters is None else letters)
+
+
+def exchanged(a: Column, b: Column) -> Column:
+    """Whether exchanging two neighbours once makes ``a`` to ``b``."""
+    one = F.lit(1)
+    there = F.sequence(one, F.greatest(F.length(a), one))
+    return (F.length(a) == F.length(b)) & (a != b) & F.exists(there, lambda i: F.concat(part(a, one, i - 1), part(a, i + 1, one), part(a, i, one), part(a, i + 2)) == b)
+
+
+def distance(a: Column, b: Column) -> Column:
+    """:func:`osa` of up to 2 edits, else null. Two neighbours exchanged are one edit here, two by
+    levenshtein: where that says more than 2, one exchange leaves parts before and behind that
+    differ by one edit at most."""
+    plain, one = F.levenshtein(a, b, 4), F.lit(1)
+
+    def around(i: Column, j: Column) -> Column:
+        before = (part(a, one, i - 1), part(b, one, j - 1))
+        behind = (part(a, i + 2), part(b, j + 2))
+        met = (j >= 1) & (part(a, i, one) == part(b, j + 1, one)) & (part(a, i + 1, one) == part(b, j, one)) & (F.length(part(b, j, F.lit(2))) == 2)
+        return met & ((F.levenshtein(*before) + F.levenshtein(*behind) <= 1) | ((before[0] == before[1]) & exchanged(*behind)))
+
+    there = F.sequence(one, F.greatest(F.length(a) - 1, one))
+    more = F.exists(there, lambda i: F.exists(F.array(i - 1, i, i + 1), lambda j: around(i, j)))
+    return F.when((plain == 2) & exchanged(a, b), 1).when(plain.between(0, 2), plain).when((plain > 2) & more, 2)
+
+
+def verified(pairs: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
+    """Adds ``distance`` to pairs within ``edits``; others go."""
+    if edits > 2:
+        raise ValueError("distances of more than 2 edits are not told apart")
+    return pairs.withColumn("distance", distance(F.col("token"), F.col("word"))).where(F.col("distance") <= edits)
 
 
 def nearest(words: DataFrame, entries: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """For each ``token`` the entry within ``edits`` by (distance, larger count, word): an
     equality join on deletes, verified. Returns token, word, distance."""
-    pairs = met(words, entries, edits)
-    pairs = pairs.withColumn("distance", F.levenshtein("token", "word")).where(F.col("distance") <= edits)
+    pairs = verified(met(words, entries, edits), edits)
     return first_per(pairs, "token", ["distance", F.desc("count"), "word"]).select("token", "word", "distance")
 
 
@@ -58,10 +96,10 @@ def osa(a: str, b: str, most: int) -> int:
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 v = min(v, before[j - 2] + 1)
             row.append(v)
-        if min(row) > most:
+        if min(row) > most and min(last) > most:  # an exchange reaches past one row
             return most + 1
         before, last = last, row
-    return last[-1]
+    return min(last[-1], most + 1)
 
 
 class Corrector:
@@ -165,14 +203,8 @@ def correct_texts(texts: DataFrame, column: str, entries: DataFrame, edits: int
         rows = [[{"token": w, "half": h} for h, part in ((False, a), (True, b)) for w in sorted(part)] for a, b in sets]
         return pa.array(rows, pa.list_(pa.struct([("token", pa.string()), ("half", pa.bool_())])))
 
-    @F.arrow_udf("int")
-    def edits_of(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([osa(x, y, edits) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
-
     asked = cut(plain.select("t", F.inline(asks("t"))), "asked")
-    # two neighbours exchanged are one edit here, two by levenshtein
-    pairs = met(asked.where("NOT half").select("token").distinct(), entries, edits).where(F.levenshtein("token", "word") <= 2 * edits)
-    pairs = pairs.withColumn("distance", edits_of("token", "word")).where(F.col("distance") <= edits)
+    pairs = verified(met(asked.where("NOT half").select("token").distinct(), entries, edits), edits)
     best = first_per(pairs, "token", ["distance", F.desc("count"), "word"])
     best = asked.where("NOT half").join(best, "token").groupBy("t").agg(F.collect_list(F.struct("token", "word", "distance")).alias("best"))
     halves = asked.where("half").join(entries.select(F.col("word").alias("token"), "count"), "token").groupBy("t").agg(F.collect_list(F.struct("token", "count")).alias("halves"))

@@ -19,6 +19,23 @@ def clean(c: str) -> str:
     return f"(SELECT CASE WHEN z = '' OR right(z, 1) IN ('.', '?', '!') THEN z ELSE z || '.' END FROM (SELECT {t} AS z))"
 
 
+#: Letters of the dictionary beyond a-z, each as one byte, as the distances count bytes.
+ACCENTED, PLAIN = "áéíóúñüâêôãçà", "0123456789!#$"
+#: All pairs of lengths that are near. The distance with free transpositions is a lower bound; where
+#: it is 2 and the plain one is more, two letters i, i + 1 must be j + 1, j of the word, and what
+#: is before and behind them differ by one edit at most.
+NEAREST = f"""
+WITH found AS (SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{X.DICTIONARY_WORD}')) AS w FROM documents) WHERE length(w) > 1 GROUP BY 1),
+entry AS (SELECT *, translate(word, '{ACCENTED}', '{PLAIN}') AS w FROM found),
+asked AS (SELECT DISTINCT lower(w) || 'x' AS token FROM (SELECT unnest(regexp_extract_all(text, '{X.DICTIONARY_WORD}')) AS w FROM benchmark) WHERE length(w) >= 4),
+coded AS (SELECT token, translate(token, '{ACCENTED}', '{PLAIN}') AS t FROM asked),
+pair AS (SELECT token, t, word, w, n, damerau_levenshtein(t, w) AS free, levenshtein(t, w) AS plain FROM coded JOIN entry ON length(w) - length(t) IN (-2, -1, 0, 1, 2) WHERE damerau_levenshtein(t, w) <= 2),
+dist AS (SELECT token, word, n, CASE WHEN free <= 1 THEN free WHEN plain <= 2 THEN 2
+ WHEN len(list_filter(range(1, length(t)), lambda i: len(list_filter([i - 1, i, i + 1], lambda j: j >= 1 AND substr(t, i, 1) = substr(w, j + 1, 1) AND substr(t, i + 1, 1) = substr(w, j, 1)
+  AND damerau_levenshtein(left(t, i - 1), left(w, j - 1)) + damerau_levenshtein(substr(t, i + 2), substr(w, j + 2)) <= 1)) > 0)) > 0 THEN 2 END AS distance FROM pair)
+SELECT token, word, distance::INTEGER AS distance FROM dist WHERE distance IS NOT NULL QUALIFY row_number() OVER (PARTITION BY token ORDER BY distance, n DESC, word) = 1"""
+
+
 def strip(c: str) -> str:
     return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
 
@@ -168,6 +185,7 @@ def oracle_sql() -> dict[str, str]:
         "paragraphs": rf"SELECT doc_id, unnest(range(0, len(l)))::INTEGER AS pos, unnest(l) AS paragraph FROM (SELECT doc_id, {paragraph_list('t')} AS l FROM (SELECT doc_id, regexp_replace(text, '([^\n]*\n[^\n]*\n[^\n]*)\n', '\1' || chr(10) || ' ' || chr(10), 'g') AS t FROM documents))",
         "sentences": f"SELECT doc_id, unnest(range(0, len(l)))::INTEGER AS pos, unnest(l) AS sentence FROM (SELECT doc_id, {doc_sentences('text')} AS l FROM documents)",
         "spelling_dictionary": f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '{X.DICTIONARY_WORD}')) AS word FROM documents) WHERE length(word) > 1 GROUP BY 1",
+        "spell_nearest": NEAREST,
         "doc_contract": f"SELECT md5(t) AS texto_md5, len({words('t')})::INTEGER AS total_palabras, coalesce(CASE WHEN doc_id % 3 <> 0 THEN nullif(source, '') END, 'sin_atributo_especifico') AS atributo_adicional, source || '.html' AS fuente, 'html' AS tipo_fuente, {clamp('lang')} AS idioma, doc_id::VARCHAR AS doc_id, '1' AS Fenomeno FROM (SELECT *, {clean('text')} AS t FROM documents) WHERE t <> ''",
         "language_fallback": f"SELECT {clamp('lang')} AS idioma, count(*) AS n FROM documents GROUP BY 1",
         "language_rule": f"SELECT doc_id, CASE WHEN e > s AND e >= p THEN 'en' WHEN p > s AND p > e THEN 'pt' ELSE 'es' END AS idioma FROM (SELECT doc_id, {rule('es')} AS s, {rule('en')} AS e, {rule('pt')} AS p FROM documents)",

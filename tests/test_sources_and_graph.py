@@ -100,27 +100,41 @@ def test_tables(spark, tmp_path):
 # ---- spelling
 
 
-def plain_levenshtein(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+def plain_edits(a: str, b: str) -> int:
+    """Fewest edits, neighbours exchanged being one, no letter edited twice."""
+    if not a or not b:
+        return len(a) + len(b)
+    ways = [plain_edits(a[:-1], b) + 1, plain_edits(a, b[:-1]) + 1, plain_edits(a[:-1], b[:-1]) + (a[-1] != b[-1])]
+    if len(a) > 1 and len(b) > 1 and a[-2:] == b[-1] + b[-2]:
+        ways.append(plain_edits(a[:-2], b[:-2]) + 1)
+    return min(ways)
 
 
 def test_nearest_against_brute_force(spark):
-    words = {"casa": 5, "caso": 9, "cosa": 9, "ñandú": 2, "perro": 4, "pero": 7, "inteligencia": 3, "ab": 1}
-    asked = ["caza", "ñandu", "pero", "inteligensia", "inteligencai", "zzz", "a", "perrro"]
+    words = {"casa": 5, "caso": 9, "cosa": 9, "ñandú": 2, "perro": 4, "pero": 7, "ab": 1, "abc": 4}
+    asked = ["caza", "ñandu", "pero", "saca", "perrro", "epror", "zzz", "a", "ca", "ba"]
     got = spell.nearest(spark.createDataFrame([(a,) for a in asked], "token string"), spark.createDataFrame(list(words.items()), "word string, count long"))
     want = set()
     for a in asked:
-        near = sorted((plain_levenshtein(a, w), -c, w) for w, c in words.items() if plain_levenshtein(a, w) <= 2)
+        near = sorted((plain_edits(a, w), -c, w) for w, c in words.items() if plain_edits(a, w) <= 2)
         if near:
             want.add((a, near[0][2], near[0][0]))
     assert set(map(tuple, got.collect())) == want
 
 
+def test_distance_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    pairs = {("ca", "abc"), ("abcd", "badc"), ("", "ab"), ("", ""), ("ab", "ba"), ("a", "a"), ("ñá", "áñ"), ("abcde", "bacdf")}
+    for _ in range(400):
+        a = "".join(rng.choice(list("abñ"), rng.integers(0, 7)))
+        b = "".join(rng.choice(list("abñ"), rng.integers(0, 7)))
+        pairs.add((a, b))
+    df = spark.createDataFrame(sorted(pairs), "a string, b string")
+    got = {(r.a, r.b): r.d for r in df.select("a", "b", spell.distance(F.col("a"), F.col("b")).alias("d")).collect()}
+    assert got == {(a, b): n if (n := plain_edits(a, b)) <= 2 else None for a, b in pairs}
+    assert all(spell.osa(a, b, 2) == min(plain_edits(a, b), 3) for a, b in pairs)
+
+
 def test_compound_correction(spark):
     c = spell.Corrector({"inteligencia": 9, "artificial": 7, "la": 50, "defensa": 5})
     assert c.correct("la intelgencia artifcial") == "la inteligencia artificial"
