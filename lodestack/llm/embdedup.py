@@ -364,3 +364,16 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
     rest = rows.where(~valid("e")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = done.unionByName(rest)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: All pairs of rows; equal results for tables small enough for that.
+ORACLE_SQL = """
+WITH RECURSIVE x AS (SELECT row_number() OVER () AS i, vec_id, embedding, embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0 AS fine FROM embeddings),
+u AS (SELECT i, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM x WHERE fine),
+link AS (SELECT a.i AS a, b.i AS b FROM u a JOIN u b ON a.i <> b.i AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT i AS a, i AS b FROM x UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+least AS (SELECT reach.a AS i, min(x.vec_id) AS c FROM reach JOIN x ON x.i = reach.b GROUP BY 1),
+n AS (SELECT a AS i, count(*) AS n FROM link GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c::BIGINT AS component_id, vec_id IS NOT DISTINCT FROM c AS kept
+FROM x JOIN least USING (i) LEFT JOIN n USING (i)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import dealt
-from . import bpe, embdedup, langid, lm, media, mixing, pii, quality, sharding, simhash
+from . import bpe, embdedup, langid, lm, media, mixing, pii, quality, sharding, simhash, simhash_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_SQL}
+    return {"op4_mixing": mixing.ORACLE_SQL, "op9_simhash": simhash_sql.ORACLE_SQL, "op10_embdedup": embdedup.ORACLE_SQL}

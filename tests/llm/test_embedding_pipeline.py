@@ -2,8 +2,10 @@
 
 import random
 import sys
+from collections import Counter
 from pathlib import Path
 
+import duckdb
 import numpy as np
 
 from lodestack.llm import embdedup, simhash
@@ -43,6 +45,10 @@ def test_embeddings_against_brute_force(spark):
     assert sorted(((x.vec_id, x.n_links, x.component_id) for x in got), key=str) == plain(ids, vectors)
     assert all(x.kept == (x.vec_id == x.component_id) for x in got)
     assert embdedup.near_duplicates(df.limit(0)).count() == 0
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", list(zip(ids, vectors, strict=True)))
+    assert Counter(con.execute(embdedup.ORACLE_SQL).fetchall()) == Counter((x.vec_id, x.n_links, x.component_id, x.kept) for x in got)
 
 
 def test_components(spark):

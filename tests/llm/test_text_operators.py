@@ -7,13 +7,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestack.llm import bpe, gbt, langid, lm, media, pii, quality, simhash
+from lodestack.llm import bpe, gbt, langid, lm, media, pii, quality, simhash, simhash_sql
 
 COLUMNS = "doc_id long, text string, lang string, source string, score string, rid long, id long"
 LONG = "wort é zwei drei " * 20_000
@@ -194,6 +195,20 @@ def test_simhash_against_brute_force(spark):
     want = Counter(zip([d[0] for d in data], [f"{p:016x}" for p in prints], plain_components([d[0] for d in data], prints, 4), strict=True))
     assert Counter(map(tuple, got)) == want
     assert simhash.components(frame(spark, data).limit(0)).count() == 0
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [d[:2] for d in data])
+    assert Counter(con.execute(simhash_sql.ORACLE_SQL).fetchall()) == want
+
+
+def test_sql_hash_equals_library():
+    r = random.Random(1)
+    texts = ["".join(r.choice("abcñ zé€") for _ in range(n)) for n in [*range(80), 500]]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE shingle (s VARCHAR)")
+    con.executemany("INSERT INTO shingle VALUES (?)", [(t,) for t in texts])
+    found = con.execute(f"WITH {simhash_sql.hashed()} SELECT s, h FROM hash").fetchall()
+    assert dict(found) == {t: xxhash.xxh64_intdigest(t.encode(), 42) for t in texts}
 
 
 @pytest.mark.parametrize("spread", [3, 9])
