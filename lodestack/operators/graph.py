@@ -18,8 +18,9 @@ NOISE_WORDS = (
     "el", "la", "los", "las", "un", "una", "unos", "unas", "y", "o", "de", "del", "a", "en", "con", "por", "para", "que", "se", "su", "sus",
     "the", "an", "and", "or", "of", "to", "in", "on", "for", "with", "by", "this", "that", "it",
 )
-#: Verb forms of the built-in relation rule.
-VERB = r"\b(?:is|are|was|were|has|have|had|be|es|son|fue|está|tiene|ha|é|foi|tem|\p{Ll}+(?:ed|ing|aron|ieron|ando|iendo))\b"
+#: Verb forms of the built-in relation rule: whole words of letters, digits, marks and underscores.
+WORD = r"[\p{L}\p{N}\p{M}_]"
+VERB = rf"(?<!{WORD})(?:is|are|was|were|has|have|had|be|es|son|fue|está|tiene|ha|é|foi|tem|{WORD}*\p{{Ll}}(?:ed|ing|aron|ieron|ando|iendo))(?!{WORD})"
 
 
 def unique_chunks(metadata: DataFrame) -> DataFrame:
@@ -40,7 +41,8 @@ def sentence_entities(chunks: DataFrame, recognise: Column | None = None, relate
     language = X.detect_language(F.col("texto")) if routes else F.lit(FALLBACK)
     s = some.select("doc_id", "chunk_id", "fenomeno", language.alias("language"), F.posexplode(X.document_sentences(F.col("texto"))).alias("sent", "sentence"))
     found = F.transform(F.regexp_extract_all("sentence", F.lit(ENTITY), F.lit(0)), lambda e: F.struct(e.alias("text"), F.when(F.contains(e, F.lit(" ")), "MULTI").otherwise("MISC").alias("kind")))
-    verbs = F.array_join(F.slice(F.regexp_extract_all(F.lower("sentence"), F.lit(VERB), F.lit(0)), 1, 2), "_")
+    low = F.lower(F.translate("sentence", "Σİ", "σi"))  # letter by letter, wherever it stands
+    verbs = F.array_join(F.slice(F.regexp_extract_all(low, F.lit(VERB), F.lit(0)), 1, 2), "_")
     entities = recognise if recognise is not None else found
     relation = relate if relate is not None else verbs
     if routes:

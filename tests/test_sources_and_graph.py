@@ -2,12 +2,14 @@
 
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestack.operators import extract, fusion, graph, spell, vector
 from lodestack.operators.embed import Encoder, embed, hash_encoders
+from lodestack.oracles import oracle_sql
 from lodestack.plans import knowledge, retrieval
 from lodestack.sources import articles, csvs, files, geo, html, paged, tables
 
@@ -314,6 +316,21 @@ def test_graph(spark, tmp_path):
         tables.write_graphml(n, e, str(tmp_path / "h.graphml"))
 
 
+def test_verbs_are_whole_words(spark):
+    texts = {
+        "Foo 9b18565f63d0b770c4262a4f5ba8015c49c15ded 3ded Bar": "9b18565f63d0b770c4262a4f5ba8015c49c15ded", "x_ded Foo has_been HA es-son": "x_ded_ha",
+        "日本語ed 日本語aed Foo ①xing": "日本語aed_①xing", "ΑΣ_ded is_ was1 Foo aİng it": "ασ_ded_aing", "ed _ed a.ed b,being Foo": "being",
+    }
+    rows = [(str(i), str(i), 1, t) for i, t in enumerate(texts)]
+    got = graph.sentence_entities(spark.createDataFrame(rows, "doc_id string, chunk_id string, fenomeno int, texto string")).orderBy("chunk_id").collect()
+    want = [r[:40] for r in texts.values()]
+    assert [x.relation for x in got] == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, 's')", list(enumerate(texts)))
+    assert [x[3] for x in sorted(con.execute(oracle_sql()["entities"]).fetchall())] == want
+
+
 def test_contract_defaults(spark):
     df = spark.createDataFrame([(None, "x", {"title": ""}, "p/f.md"), ("d", " ", None, "p/f.md")], "doc_id string, raw_text string, metadata map<string,string>, path string")
     got = extract.contract(df, "md", "2").collect()
