@@ -180,7 +180,7 @@ def paged_document(spark, sf_dir):
 
 @query
 def html_title(spark, sf_dir):
-    return html.blocks(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "title")
+    return dealt(table(spark, sf_dir, "pages")).select("page_id", html.title(F.col("html")).alias("title"))
 
 
 @query

@@ -51,6 +51,26 @@ def test_html_nesting():
     assert html.parse("<header><p>x</p></header><h2>\n</h2>")[1] == []
 
 
+def test_title_by_pattern_equals_its_sql(spark):
+    pages = {
+        None: "html_sin_titulo",
+        "<p>x": "html_sin_titulo",
+        "<TITLE x='1'>\n a &amp;lt; &quot;b&quot; &#39;c &amp</title>": "a &lt; &quot;b&quot; &#39;c &amp",
+        "<title>one &lt;b&gt;</title><title>two</title>": "one <b>",
+        "<!-- <title>c</title> --><title>d</title>": "c",
+        "<title> a <b>b</b>\x0b </title>": "a <b>b</b>\x0b",
+        "<title>no end": "",
+        "<title" * 50_000: "",
+        "<title>" * 50_000: "",
+    }
+    df = spark.createDataFrame([(k,) for k in pages], "html string")
+    assert [x[0] for x in df.select(html.title(F.col("html"))).collect()] == list(pages.values())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(pages)))
+    assert [x[1] for x in sorted(con.execute(oracle_sql()["html_title"]).fetchall())] == list(pages.values())
+
+
 def test_articles_values():
     assert articles.objects('{"a": 1}\n{"b": 2}') == [{"a": 1}, {"b": 2}]
     assert articles.objects('[\n1]') == [[1]]
