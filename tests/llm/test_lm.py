@@ -219,6 +219,29 @@ def test_held_out_beats_the_base_on_text_with_order(spark):
     assert held and all(x.score > 0.7 * x.base_score and x.bits_per_byte > 0 for x in held)
 
 
+def test_mixing_is_learnt_on_all_training_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 300)  # many chunks
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(9)]
+    data = [(i, " ".join(r.choices(words, k=30))) for i in range(300)]
+    sums, models = [], []
+    summed, fit = bitmix.summed_parts, lm.fit
+    monkeypatch.setattr(bitmix, "summed_parts", lambda x: sums.append(summed(x)) or sums[-1])
+    monkeypatch.setattr(lm, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    assert lm.score(frame(spark, data)).count() == 300
+    count = Counter(w for i, t in data if not is_held(i) for w in tokens_of(t))
+    leaves = [b"", *sorted((w for w in count if w), key=lambda w: (-count[w], w))]
+    assert sums[-1][1].sum() == sum(count[w] * models[0].code.length[i] for i, w in enumerate(leaves))
+
+
+def test_spelling_is_learnt_on_all_rare_words(spark, monkeypatch):
+    words = [f"{k * 7919 % 1000:x}y".encode() for k in range(700)]
+    sums, summed = [], bitmix.summed_parts
+    monkeypatch.setattr(bitmix, "summed_parts", lambda x: sums.append(summed(x)) or sums[-1])
+    tree = spelling.fit(spark.createDataFrame([(bytearray(w),) for w in words], "word binary")).tree
+    assert sums[0][1].sum() == spelling.EPOCHS * sum(tree.length[c] for w in words for c in w + b"\0")
+
+
 def test_edges(spark):
     data = [(1, None), (2, ""), (3, " \n\t"), (None, "x"), (6, "a " * 30_000), (6, "a b"), (6, "a b"), (7, "ends\u0085with odd\u001cspace")]
     got = lm.score(frame(spark, data)).collect()
