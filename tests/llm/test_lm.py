@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestack.llm import bitmix, lm, lm_model, spelling
@@ -319,3 +320,26 @@ def test_packed_arrays_come_back():
     a = (np.arange(7, dtype=np.uint64) << np.uint64(50), np.zeros((0, 3), np.uint8), np.arange(6, dtype=np.uint8).reshape(2, 3), np.zeros(3, lm_model.FOLLOWERS), [1, None], np.array([True, False]))
     b = bitmix.unpacked(bitmix.packed(*a))
     assert all(np.array_equal(x, y) and getattr(x, "dtype", 0) == getattr(y, "dtype", 0) for x, y in zip(a, b, strict=True))
+
+
+def test_words_of_arrow_texts_equal_plain_words():
+    r = random.Random(3)
+    texts = [None, "", " ", "a", "  A b\t\n", "ends\u0085with odd\u001cspace É\0z"] + ["".join(r.choices(" \t\n\x0b\x0c\rAbÉ \x1c\u0085z", k=r.randint(0, 20))) for _ in range(500)]
+    for some in (texts, texts[:1], texts[2:3], []):
+        words, sizes = lm.words_of(pa.array(some, pa.string()))
+        assert words.to_pylist() == [w for t in some for w in tokens_of(t)[:-1]]
+        assert sizes.tolist() == [len(tokens_of(t)) - 1 for t in some]
+
+
+def test_rare_tokens_of_a_chunk_travel_in_one_row_a_task(spark):
+    words = [f"w{k}".encode() for k in range(900)]
+    asked = [(c, [bytearray(w) for w in words[c * 100 : c * 100 + 500]]) for c in range(5)]
+    chunks = spark.createDataFrame(asked, "chunk long, rare array<binary>")
+    rare = spark.createDataFrame([(bytearray(w), k, float(-k)) for k, w in enumerate(words)], "word binary, c long, lm float")
+    found = lm.looked_up(chunks, rare)
+    got = found.collect()
+    assert len(got) <= 5 * found.rdd.getNumPartitions() < 2500
+    for c in range(5):
+        at, n, logs = (np.concatenate(v) for v in zip(*(bitmix.unpacked(bytes(x.body)) for x in got if x.chunk == c), strict=True))
+        assert sorted(at.tolist()) == list(range(500))
+        assert (n == at + c * 100).all() and (logs == -n).all()
