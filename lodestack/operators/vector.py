@@ -1,9 +1,10 @@
 """Vector search: exact (flat), inverted lists (IVF), navigable small worlds (NSW).
 
-A search joins a batch of queries with all vectors. Queries under a checked bound are broadcast
-and every vector batch is one matrix product; above it, blocks of queries meet blocks of vectors
-in a co-grouped shuffle. Only each part's best k leave it; a window merges them. An index is built
-once and stored whole: vectors, or centroids and lists by cell, or graphs by shard.
+A search joins a batch of queries with all vectors. Queries under a checked bound are broadcast;
+above it, blocks of queries meet blocks of vectors in a co-grouped shuffle. Either way products are
+made tile by tile, so that a block's scores are never held at once. Only each part's best k leave it;
+a window merges them. An index is built once and stored whole: vectors, or centroids and lists by
+cell, or graphs by shard.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from ..shared import cut
 
 #: Queries that may be broadcast; queries and vectors of a block otherwise.
 BROADCAST_QUERIES, QUERY_BLOCK, VECTOR_BLOCK = 4096, 2048, 100_000
+#: Queries of a block of the exact search, where all vectors are shuffled once a block.
+FLAT_QUERIES = 16_384
+#: Queries and vectors whose scores are held at once.
+TILE = 128, 8192
 #: Similarities are ranked at this many decimals, ties by the vector's id.
 DECIMALS = 9
 
@@ -51,21 +56,39 @@ def matrix(vectors, unit: bool) -> np.ndarray:
     return m
 
 
-def _best(q_ids, v_ids, scores: np.ndarray, k: int) -> tuple[list, list, list]:
-    """Each query's best k, as flat lists; ties by id."""
-    scores = np.round(scores, DECIMALS)
-    a, b, c = [], [], []
-    k = min(k, scores.shape[1])
-    order = np.argsort(np.array(v_ids), kind="stable")
-    for i, q in enumerate(q_ids):
-        row = scores[i, order]
-        kth = np.partition(row, len(row) - k)[len(row) - k]
-        some = np.flatnonzero(row >= kth)
-        top = some[np.argsort(-row[some], kind="stable")][:k]
-        a += [q] * len(top)
-        b += [v_ids[j] for j in order[top]]
-        c += row[top].tolist()
-    return a, b, c
+def _merge(best: np.ndarray, at: np.ndarray, s: np.ndarray, first: int) -> None:
+    """Puts a tile's scores, of the vectors from ``first`` on, among each query's best so far, in place."""
+    k, unit = best.shape[1], 10.0**-DECIMALS
+    # what rounds to no more than the last of a full list is out, as it has the higher id
+    limit = best[:, -1] + 0.4 * unit
+    if s.shape[1] > k and len(new := np.flatnonzero(np.isneginf(limit))):
+        limit[new] = np.partition(s[new], s.shape[1] - k, axis=1)[:, s.shape[1] - k] - 1.1 * unit
+    row, col = np.divmod(np.flatnonzero(s > limit[:, None]), s.shape[1])
+    if not len(row):
+        return
+    n = np.bincount(row, minlength=len(best))
+    some = np.flatnonzero(n)
+    row = np.concatenate([np.repeat(some, k), row])
+    score = np.concatenate([best[some].ravel(), np.round(s[row[len(some) * k :], col], DECIMALS)])
+    where = np.concatenate([at[some].ravel(), first + col])
+    starts = np.cumsum(n[some] + k) - n[some] - k
+    top = np.lexsort((where, -score, row))[starts[:, None] + np.arange(k)]
+    best[some], at[some] = score[top], where[top]
+
+
+def _best(q: np.ndarray, v: pa.Table, scores: Callable, unit: bool, k: int) -> tuple[pa.Array, pa.ChunkedArray, np.ndarray]:
+    """Each query's best k of ``v`` (item_id, embedding): the query's row, item, score; ties by id.
+    Beside its arguments it holds one tile and k rows a query."""
+    v = v.sort_by("item_id")
+    k = min(k, v.num_rows)
+    best, at = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
+    for b in range(0, v.num_rows, TILE[1]):
+        x = matrix(pa.concat_arrays(v["embedding"].slice(b, TILE[1]).chunks), unit)
+        for a in range(0, len(q), TILE[0]):
+            some = slice(a, a + TILE[0])
+            _merge(best[some], at[some], scores(q[some], x), b)
+    row, col = np.nonzero(best > -np.inf)
+    return pa.array(row), v["item_id"].take(pa.array(at[row, col])), best[row, col]
 
 
 def ranked(found: DataFrame, k: int, by: str = "query_id", item: str = "item_id") -> DataFrame:
@@ -117,16 +140,35 @@ def _kinds(queries: DataFrame, vectors: DataFrame) -> tuple:
     return to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(vectors.schema["item_id"].dataType), pa.float64()
 
 
-def _batch(columns, kinds) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "item_id", "score"])
+def _found(ids: pa.Array | pa.ChunkedArray, best: tuple, kinds: tuple) -> pa.Table:
+    """Rows of the queries of these ids from what :func:`_best` gives."""
+    row, items, score = best
+    return pa.table([ids.take(row).cast(kinds[0]), items.cast(kinds[1]), pa.array(score, kinds[2])], ["query_id", "item_id", "score"])
 
 
-def _exact(scores: Callable, unit: bool, k: int) -> Callable[[pd.DataFrame, list, np.ndarray], pd.DataFrame]:
-    def found(v: pd.DataFrame, ids: list, q: np.ndarray) -> pd.DataFrame:
-        cols = _best(ids, v["item_id"].tolist(), scores(q, matrix(v["embedding"], unit)), k)
-        return pd.DataFrame(dict(zip(("query_id", "item_id", "score"), cols, strict=True)))
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches joined to blocks of vectors."""
+    held = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= VECTOR_BLOCK:
+            yield pa.Table.from_batches(held)
+            held = []
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held)
 
-    return found
+
+def _met_exact(left: DataFrame, right: DataFrame, keys: list[str], scores: Callable, unit: bool, k: int) -> DataFrame:
+    """The best k of every block of queries and of vectors that share their keys."""
+    kinds = _kinds(left, right)
+
+    def pair(q: pa.Table, v: pa.Table) -> pa.Table:
+        if not q.num_rows or not v.num_rows:
+            return pa.table([pa.array([], t) for t in kinds], ["query_id", "item_id", "score"])
+        x = matrix(pa.concat_arrays(q["embedding"].chunks), unit)
+        return _found(q["query_id"], _best(x, v.select(["item_id", "embedding"]), scores, unit, k), kinds)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(pair, _schema(left, right))
 
 
 class Flat:
@@ -157,15 +199,16 @@ class Flat:
 
             def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, q = shared.value
-                for b in batches:
-                    if b.num_rows:
-                        yield _batch(_best(ids, b.column(0).to_pylist(), scores(q, matrix(b.column(1), unit)), k), kinds)
+                for v in _gathered(batches):
+                    yield from _found(pa.array(ids, kinds[0]), _best(q, v, scores, unit, k), kinds).to_batches()
 
             return ranked(self.vectors.mapInArrow(near, schema), k)
-        n_q, n_v = -(-queries.count() // QUERY_BLOCK), max(1, -(-self.vectors.count() // VECTOR_BLOCK))
+        n_q = -(-queries.count() // FLAT_QUERIES)
+        # no block above the bound, and work for all cores
+        n_v = max(1, -(-self.vectors.count() // VECTOR_BLOCK), -(-2 * queries.sparkSession.sparkContext.defaultParallelism // n_q))
         left = queries.withColumn("qb", _blocks("query_id", n_q)).withColumn("vb", _every(n_v))
         right = self.vectors.withColumn("vb", _blocks("item_id", n_v)).withColumn("qb", _every(n_q))
-        return ranked(_met(left, right, ["qb", "vb"], _exact(scores, unit, k), unit, schema), k)
+        return ranked(_met_exact(left, right, ["qb", "vb"], scores, unit, k), k)
 
 
 def ivf_cells(n: int, wanted: int = 100) -> int:
@@ -231,8 +274,8 @@ class IVF:
                     for c in np.unique(at):
                         rows, who = pa.array(np.flatnonzero(at == c)), np.flatnonzero((cells == c).any(1))
                         if len(who):
-                            x = matrix(b.column(1).take(rows), True)
-                            yield _batch(_best([ids[i] for i in who], b.column(0).take(rows).to_pylist(), q[who] @ x.T, k), kinds)
+                            v = pa.Table.from_batches([b.select([0, 1]).take(rows)])
+                            yield from _found(pa.array([ids[i] for i in who], kinds[0]), _best(q[who], v, _inner, True, k), kinds).to_batches()
 
             lists = self.lists.where(F.col("cell").isin(np.unique(asked).tolist()))
             return ranked(lists.select("item_id", "embedding", "cell").mapInArrow(near, schema), k)
@@ -240,7 +283,7 @@ class IVF:
         q = assign(queries.select("query_id", "embedding"), self.centroids, self.probes)
         left = q.withColumn("qb", _blocks("query_id", n_q)).withColumn("vb", _every(n_v))
         right = self.lists.withColumn("vb", _blocks("item_id", n_v)).withColumn("qb", _every(n_q))
-        return ranked(_met(left, right, ["cell", "qb", "vb"], _exact(_inner, True, k), True, schema), k)
+        return ranked(_met_exact(left, right, ["cell", "qb", "vb"], _inner, True, k), k)
 
 
 def _cells(unit: np.ndarray, centroids: list[tuple[int, list[float]]], probes: int) -> np.ndarray:

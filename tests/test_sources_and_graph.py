@@ -1,9 +1,11 @@
 """Sources, sinks, spelling, vector indexes, fusion, graph and streaming on small fixtures."""
 
 import json
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +230,37 @@ def test_ties_go_to_the_lower_id(spark):
     assert [r.item_id for r in vector.Flat().build(v).search(q, 2).orderBy("rank").collect()] == [1, 3]
 
 
+def test_exact_search_holds_tiles_not_blocks_of_scores():
+    """The scores of this block fill 80 MB; equal vectors and an empty one are among them."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(20_000, 4)).astype(np.float32)
+    x[5000:9000], x[17] = x[3], 0
+    ids = r.permutation(20_000)
+    v = pa.table([pa.array(ids), pa.array(x.tolist(), pa.list_(pa.float32()))], ["item_id", "embedding"])
+    q = vector.matrix(x[:500], True)
+    tracemalloc.start()
+    row, items, score = vector._best(q, v, vector._inner, True, 12)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45e6
+    s = np.round(q @ vector.matrix(x, True).T, vector.DECIMALS)
+    top = np.array([np.lexsort((ids, -of))[:12] for of in s])
+    assert np.array(row).tolist() == np.repeat(np.arange(500), 12).tolist()
+    assert np.array(items).tolist() == ids[top].ravel().tolist()
+    assert np.allclose(score, np.take_along_axis(s, top, 1).ravel(), atol=2e-9, rtol=0)
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_flat_blocks_agree_with_ties(spark, monkeypatch, metric):
+    v, q = points(spark, n=300, d=4)
+    v = v.unionByName(v.selectExpr("item_id + 300 AS item_id", "embedding")).selectExpr("CAST(item_id AS string) AS item_id", "embedding")
+    want = rows_of(vector.Flat(metric).build(v).search(q, 9))
+    monkeypatch.setattr(vector, "BROADCAST_QUERIES", 5)
+    monkeypatch.setattr(vector, "FLAT_QUERIES", 7)
+    monkeypatch.setattr(vector, "VECTOR_BLOCK", 90)
+    assert rows_of(vector.Flat(metric).build(v).search(q, 9)) == want and len(want) == 270
+
+
 def rows_of(found):
     return {(r.query_id, r.item_id, r["rank"], r.score) for r in found.collect()}
 
