@@ -273,9 +273,9 @@ def l2_scores(spark, sf_dir):
     return e.select("vec_id", F.round(l2_score(d), 9).alias("score"))
 
 
-def half_candidates(spark, sf_dir) -> DataFrame:
+def half_candidates(spark, sf_dir, lists: tuple[int, ...] = (0, 1)) -> DataFrame:
     every = None
-    for no in (0, 1):
+    for no in lists:
         items, asked = split(halves(spark, sf_dir).where(F.col("list_no") == no))
         found = vector.Flat().build(items).search(asked, 50).withColumn("list_no", F.lit(no))
         every = found if every is None else every.unionByName(found)
@@ -293,13 +293,13 @@ def rrf_fused_topk(spark, sf_dir):
 
 @query
 def single_encoder_dedup(spark, sf_dir):
-    f = fusion.single(half_candidates(spark, sf_dir).where("list_no = 0"))
+    f = fusion.single(half_candidates(spark, sf_dir, (0,)))
     return f.select("query_id", "position", F.round("score", 6).alias("score"), "doc_id", "chunk_id")
 
 
 @query
 def doc_max_pool(spark, sf_dir):
-    f = fusion.document_max(half_candidates(spark, sf_dir).where("list_no = 0"))
+    f = fusion.document_max(half_candidates(spark, sf_dir, (0,)))
     return f.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 

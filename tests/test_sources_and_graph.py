@@ -261,6 +261,21 @@ def test_flat_blocks_agree_with_ties(spark, monkeypatch, metric):
     assert rows_of(vector.Flat(metric).build(v).search(q, 9)) == want and len(want) == 270
 
 
+def test_one_list_takes_one_search(spark, monkeypatch, tmp_path):
+    """Queries of a list that is dropped are neither counted nor collected."""
+    from lodestack import queries
+
+    r = np.random.default_rng(2)
+    rows = [(i, x.tolist(), i % 5) for i, x in enumerate(r.normal(size=(120, 64)).astype(np.float32))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    asked, search = [], vector.Flat.search
+    monkeypatch.setattr(vector.Flat, "search", lambda self, queries, k: asked.append(k) or search(self, queries, k))
+    for name, most in (("doc_max_pool", 3), ("single_encoder_dedup", 50)):
+        asked.clear()
+        per = queries.queries()[name](spark, str(tmp_path)).groupBy("query_id").count().collect()
+        assert asked == [50] and len(per) == 6 and all(0 < x["count"] <= most for x in per)
+
+
 def rows_of(found):
     return {(r.query_id, r.item_id, r["rank"], r.score) for r in found.collect()}
 
