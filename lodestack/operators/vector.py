@@ -132,8 +132,12 @@ def _inner(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _from_distance(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    d = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T
-    return 1 / (1 + np.maximum(d, 0))
+    d = (-2 * q) @ v.T
+    d += (q * q).sum(1)[:, None]
+    d += (v * v).sum(1)
+    np.maximum(d, 0, out=d)
+    d += 1
+    return np.reciprocal(d, out=d)
 
 
 def _kinds(queries: DataFrame, vectors: DataFrame) -> tuple:

@@ -250,6 +250,18 @@ def test_exact_search_holds_tiles_not_blocks_of_scores():
     assert np.allclose(score, np.take_along_axis(s, top, 1).ravel(), atol=2e-9, rtol=0)
 
 
+def test_distances_take_one_matrix():
+    r = np.random.default_rng(3)
+    q, v = r.normal(size=(300, 8)), r.normal(size=(4000, 8))
+    v[:300] = q
+    tracemalloc.start()
+    score = vector._from_distance(q, v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.4 * score.nbytes
+    assert np.allclose(score, 1 / (1 + ((q[:, None] - v[None]) ** 2).sum(2)), atol=1e-12, rtol=0) and np.allclose(score.diagonal(), 1, atol=1e-12)
+
+
 @pytest.mark.parametrize("metric", ["ip", "l2"])
 def test_flat_blocks_agree_with_ties(spark, monkeypatch, metric):
     v, q = points(spark, n=300, d=4)
